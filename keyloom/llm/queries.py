@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, mixing, quality, tokens, toxicity, warc
+from . import decontaminate, htmltext, licenses, mixing, quality, tokens, toxicity, warc
 from .common import table
 
 
@@ -23,6 +23,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -44,6 +52,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_output": op2_token_output,
     "op3_quality_rules": op3_quality_rules,
+    "op4_license_scan": op4_license_scan,
+    "op6_decontamination": op6_decontamination,
     "op7_warc": op7_warc,
     "op8_main_text": op8_main_text,
     "op9_toxicity": op9_toxicity,
