@@ -14,7 +14,6 @@ empty table gives an empty one; other columns are not read.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,67 +24,75 @@ from pyspark.sql import functions as F
 
 from .common import new_dir
 
-#: Units whose ids a worker remembers; the table is emptied when it is full.
-CACHE_UNITS = 600_000
+#: Words whose ids a worker remembers; the table is emptied when it is full.
+CACHE_WORDS = 1_000_000
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Byte-level BPE of whole texts, with the ids of each space-led unit looked up once.
+    """Byte-level BPE of whole texts, with the ids of each word looked up once.
 
-    The vocabulary's pre-tokenizer always cuts before a space, unless white space stands
-    on both sides of it (or white space before it and the end after it). So a text can
-    be encoded unit by unit at the other spaces; the tokenizer encodes each unit.
+    The vocabulary's pre-tokenizer always cuts before a space or line end that follows
+    other than white space and precedes other than white space, and after such a line
+    end. Texts in which all spaces and line ends are of this kind are cut there; others
+    go to the tokenizer whole. The tokenizer encodes each new word, many in one string.
     """
 
-    cut = re.compile(r"(?<=\S) |(?<=\s) (?=\S)").sub
-    joined = re.compile(r"\s \s|\s $").search
-
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.ids: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # key -> ids
         # a token's name has one character for each of its bytes
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for name, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = len(name)
 
-    def units(self, text: str) -> list[str]:
-        # NUL marks the cuts of the rare texts that can't be cut at every space; a text that holds it is one unit
-        if "\0" in text:
-            return [text]
-        if self.joined(text):
-            return self.cut("\0 ", text).split("\0")
-        return text.replace(" ", "\0 ").split("\0")
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    @staticmethod
+    def keys(text: str) -> list[str]:
+        """NUL and the first word; then each word after a space, or after a line end with that line end."""
+        out = text.replace("\n", " \n").split(" ")
+        out[0] = "\0" + out[0]
+        return out
+
+    def learn(self, new: list[str], lead: str) -> None:
+        """Encode the words of keys in strings of many, each after ``lead``, and tell their ids apart by their bytes."""
+        for i in range(0, len(new), 2000):
+            part = new[i : i + 2000]
+            words = part if lead == " " else [k[1:] for k in part]
+            data, at = self.whole(lead + lead.join(words)), 0
+            ends = np.searchsorted(np.cumsum(self.bytes_of[np.frombuffer(data, "<u4")]), np.cumsum([1 + len(w.encode()) for w in words])) + 1
+            for k, e in zip(part, ends.tolist()):
+                self.known[k] = data[(at + (k[0] == "\0")) * 4 : e * 4]
+                at = e
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.ids) > CACHE_UNITS:
-            self.ids.clear()
-        cut = [self.units(t) for t in texts]
-        known = self.ids
-        new = list(set().union(*cut).difference(known))
-        # units that start with a space and then no white space can be encoded in one string and told apart by bytes
-        led = [p for p in new if p[:1] == " " and not p[1:2].isspace() and len(p) > 1]
-        rest = set(new).difference(led)
-        for i in range(0, len(led), 2000):
-            part = led[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(p.encode()) for p in part])) + 1
-            data, at = ids.tobytes(), 0
-            for p, e in zip(part, ends.tolist()):
-                known[p] = data[at * 4 : e * 4]
-                at = e
-        for p in rest:
-            known[p] = np.array(self.tokenizer.encode_batch_fast([p], add_special_tokens=False)[0].ids, "<u4").tobytes()
-        out = [b"".join([known[p] for p in units]) for units in cut]
-        for p in new:
-            if len(p) > 200:
-                del known[p]
-        return out
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        get = self.known.get
+        cut = [self.keys(t) for t in texts]
+        found = [list(map(get, k)) for k in cut]
+        holes = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        new = {k[i] for k, at in zip(cut, holes) for i in at}
+        after_space, after_end = [], []
+        for k in new:
+            word = k[1:] if k[:1] in ("\0", "\n") else k
+            if word and not word[0].isspace() and not word[-1].isspace():
+                (after_space if word is k else after_end).append(k)
+        self.learn(after_space, " ")
+        self.learn(after_end, "\n")
+        for n, at in enumerate(holes):
+            for i in at:
+                found[n][i] = get(cut[n][i])
+            if None in found[n]:  # white space beside white space
+                found[n] = [self.whole(texts[n])]
+        return [b"".join(x) for x in found]
 
 
 def encoder(path: str) -> Encoder:
