@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,18 +41,27 @@ from .suffixes import repeated_windows
 
 LENGTH, REACH = 400, 300
 #: Bytes of text a hashing pass and a suffix array hold at once.
-PASS_BYTES, SHARD_BYTES = 1 << 20, 3 << 19
+PASS_BYTES, SHARD_BYTES = 1 << 20, 3 << 17
 #: Distinct contexts of one anchor hash in one shard.
-SHARD_CONTEXTS = 1500
-#: A table of up to this many bytes, as counted, is broadcast; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 48 << 20
+SHARD_CONTEXTS = 5000
+#: The table of mixed anchor hashes is broadcast if it has at most this many rows; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 400_000
 #: A text longer than this is hashed in pieces that share ``length - 1`` bytes.
 TEXT_BYTES = 4 << 20
 
 
-def sized(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Marked for broadcast if its counted size allows it."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def compressed(docs: DataFrame, id_col: str, text_col: str, least: int = 0) -> DataFrame:
+    """(id, key, blob) of each row: texts are shuffled in a third of their size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            blobs = [pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["id", "key", "blob"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    rows = rows.where(F.octet_length("text") >= least) if least else rows
+    return rows.mapInArrow(run, "id long, key long, blob binary")
 
 
 def pieces(data: bytes, length: int) -> list[tuple[int, bytes]]:
@@ -88,14 +98,15 @@ def contexts(docs: DataFrame, id_col: str, text_col: str, length: int, reach: in
     return rows.where(F.octet_length("text") >= length).mapInArrow(run, "id long, key long, at array<int>, windows array<int>, h array<long>, c array<long>")
 
 
-def cut_out(docs: DataFrame, wanted: DataFrame, text_col: str, length: int) -> DataFrame:
+def cut_out(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     """(h, c, n, salt, data): the bytes of each wanted context. ``wanted``: (key, places of (at, windows, h, c, n, salt))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = text.encode("utf-8", "surrogatepass")
+            for blob, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = unpack(blob)
                 for p in places:
                     piece = data[p["at"] : p["at"] + p["windows"] + length - 1]
                     if len(piece) == p["windows"] + length - 1:
@@ -106,8 +117,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame, text_col: str, length: int) -> D
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, CUT)
 
-    texts = docs.select(F.xxhash64(text_col).alias("k"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
-    met = texts.join(wanted, F.col("k") == F.col("key")).select("text", "places")
+    met = compressed(docs, id_col, text_col, length).join(wanted, "key").select("blob", "places")
     # equal texts bring equal bytes
     return met.mapInArrow(run, "h long, c long, n long, salt int, data binary")
 
@@ -161,12 +171,10 @@ def merge_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def repeated(t: pa.Table) -> pa.RecordBatch:
         a, b = t["d1"].to_numpy(), t["d2"].to_numpy()
-        pair = np.rec.fromarrays([a, b])
         left, right = np.searchsorted(a, a, "left"), np.searchsorted(a, a, "right")
         out = np.zeros(len(a), bool)
         for i in np.flatnonzero(right - left > 1).tolist():
             out[i] = (b[left[i] : right[i]] == b[i]).sum() > 1
-        del pair
         # one that repeats in its own shard was found there; it takes part, and is told again
         return t.filter(pa.array(out)).select(["h", "c", "lo", "hi"]).combine_chunks()
 
@@ -190,12 +198,10 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = staged(mixed.withColumnRenamed("h", "g"), "mixed")
     shards = F.ceil(F.col("kinds") / SHARD_CONTEXTS)
     salt = F.when(shards > 1, F.pmod(F.col("c"), shards)).otherwise(-1).cast("int")
-    wanted = kinds.join(sized(mixed, 40), F.col("h") == F.col("g")).select("h", "c", "n", "p", salt.alias("salt"))
+    few = F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed
+    wanted = kinds.join(few, F.col("h") == F.col("g")).select("h", "c", "n", "p", salt.alias("salt"))
     wanted = wanted.groupBy("p.key").agg(F.collect_list(F.struct("p.at", "p.windows", "h", "c", "n", "salt")).alias("places"))
-    wanted = staged(wanted, "wanted")
-    weight = wanted.agg(F.sum(F.size("places"))).first()[0] or 0
-    few = F.broadcast(wanted) if weight * 48 <= BROADCAST_BYTES else wanted
-    cut = cut_out(docs, few, text_col, length).repartition("h", "salt").sortWithinPartitions("h", "salt", "c")
+    cut = cut_out(docs, wanted, id_col, text_col, length).repartition("h", "salt").sortWithinPartitions("h", "salt", "c")
     windows = staged(cut.mapInArrow(lambda b: shard_windows(b, length), WINDOWS), "windows")
     local = windows.where("d1 IS NULL").select("h", "c", "lo", "hi")
     # a context that occurs twice counts twice
@@ -204,7 +210,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = kinds.where("n > 1").select("h", "c", F.lit(0).alias("lo"), F.col("p.windows").alias("hi"))
     runs = full.unionByName(local.unionByName(merged).join(kinds.where("n = 1").select("h", "c"), ["h", "c"], "left_semi"))
     runs = staged(runs.select(F.col("h").alias("g"), F.col("c").alias("d"), "lo", "hi"), "runs")
-    placed = each.join(sized(runs, 40), (F.col("h") == F.col("g")) & (F.col("c") == F.col("d")))
+    placed = each.join(runs, (F.col("h") == F.col("g")) & (F.col("c") == F.col("d")))
     return placed.groupBy("id", "key").agg(F.collect_set(F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))).alias("runs"))
 
 
@@ -222,15 +228,14 @@ def spans(runs: list, length: int) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, reach: int = REACH, with_data: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept]) of every row; ``kept``: the bytes that stay."""
     runs = staged(repeated_runs(docs, id_col, text_col, length, reach), "repeats")
-    places = runs.agg(F.sum(F.size("runs"))).first()[0] or 0
     runs = runs.select(F.col("id").alias("i"), F.col("key").alias("k"), "runs")
-    few = F.broadcast(runs) if places * 24 + runs.count() * 60 <= BROADCAST_BYTES else runs
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
-            for i, text, found in zip(*(c.to_pylist() for c in batch.columns)):
-                data = (text or "").encode("utf-8", "surrogatepass")
+            for i, blob, found in zip(*(c.to_pylist() for c in batch.columns)):
+                data = unpack(blob)
                 gone = spans(found, length)
                 parts, at = [], 0
                 for lo, hi in gone:
@@ -243,6 +248,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(cols[5], pa.binary())] if with_data else arrays, names + ["kept"] * with_data)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    rows = rows.join(few, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left").select("id", "text", "runs")
+    rows = compressed(docs, id_col, text_col)
+    rows = rows.join(runs, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left").select("id", "blob", "runs")
     return rows.mapInArrow(finish, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<int>" + ", kept binary" * with_data)

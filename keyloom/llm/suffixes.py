@@ -17,65 +17,78 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """
     n = len(symbols)
     if n < 2:
-        return np.arange(n)
+        return np.arange(n, dtype=np.int32)
     padded = np.zeros(n + FIRST, np.int64)
     padded[:n] = symbols.astype(np.int64) + 1  # 0 is the end
     key = np.zeros(n, np.int64)
     for i in range(FIRST):
-        key = key << 9 | padded[i : n + i]
-    sa = np.argsort(key, kind="stable")
+        key <<= 9
+        key |= padded[i : n + i]
+    sa = np.argsort(key).astype(np.int32)
+    key = key[sa]
     new = np.ones(n, bool)
-    np.not_equal(key[sa[1:]], key[sa[:-1]], out=new[1:])
-    rank = np.zeros(n + 1, np.int64)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
-    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    alone = new & np.append(new[1:], True)
-    tied = np.flatnonzero(~alone)  # places in sa
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
+    tied = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in sa
     depth = FIRST
     while len(tied):
         at = sa[tied]
-        ahead = rank[np.minimum(at + depth, n)] + 1
-        group = rank[at]
-        order = np.argsort(group << 32 | ahead, kind="stable")
-        at, ahead, group = at[order], ahead[order], group[order]
+        key = rank[at].astype(np.int64) << 32
+        key |= rank[np.minimum(at + depth, n)] + 1
+        order = np.argsort(key)
+        at, key = at[order], key[order]
         sa[tied] = at
         new = np.ones(len(at), bool)
-        new[1:] = (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1])
+        np.not_equal(key[1:], key[:-1], out=new[1:])
         rank[at] = tied[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
         tied = tied[~(new & np.append(new[1:], True))]
         depth *= 2
     return sa
 
 
-def common_prefixes(symbols: np.ndarray, sa: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of each suffix (by its place in the text) with the one before it in order, up to ``most``.
+def common_prefixes(symbols: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """Common prefix of each suffix (by its place in the text) with the one before it in order.
 
-    Kasai: the prefix of the suffix one further on is shorter by one at most. The texts
-    of the buffer are walked side by side, one step of each at a time.
+    Kasai: the prefix of the suffix one further on is shorter by one at most, and by just
+    one where the symbols before the two suffixes agree. So symbols are compared only at
+    the places where they don't, FIRST at a time; the others count down from there.
     """
     n = len(symbols)
-    padded = np.append(symbols, np.zeros(1, symbols.dtype))
-    before = np.full(n, -1, np.int64)
-    before[sa[1:]] = sa[:-1]
     out = np.zeros(n, np.int32)
-    order = np.argsort(-sizes, kind="stable")
-    starts, sizes = starts[order], sizes[order]
-    h = np.zeros(len(starts), np.int64)
-    for t in range(int(sizes[0]) if len(sizes) else 0):
-        m = int(np.searchsorted(-sizes, -t, side="left"))
-        i = starts[:m] + t
-        j = before[i]
-        h = np.maximum(h[:m] - 1, 0)
-        h[j < 0] = 0
-        lanes = np.flatnonzero(j >= 0)
-        while len(lanes):
-            x, y = i[lanes] + h[lanes], j[lanes] + h[lanes]
-            same = (h[lanes] < most) & (np.maximum(x, y) < n)
-            same &= padded[np.minimum(x, n)] == padded[np.minimum(y, n)]
-            lanes = lanes[same]
-            h[lanes] += 1
-        out[i] = h
-    return out
+    if n < 2:
+        return out
+    before = np.full(n, -1, np.int32)
+    before[sa[1:]] = sa[:-1]
+    fresh = np.ones(n, bool)
+    fresh[1:] = (before[1:] < 1) | (symbols[:-1] != symbols[before[1:] - 1])
+    # blocks of FIRST symbols; past the end each place has a block of its own
+    padded = np.zeros(n + FIRST, np.int64)
+    padded[:n] = symbols.astype(np.int64) + 1
+    block = np.zeros(n + FIRST, np.int64)
+    for i in range(FIRST):
+        block[:n] <<= 9
+        block[:n] |= padded[i : n + i]
+    tail = max(0, n - FIRST + 1)
+    block[tail:] = -1 - np.arange(len(block) - tail)
+    at = np.flatnonzero(fresh & (before >= 0))
+    x, y = at.copy(), before[at].astype(np.int64)
+    lanes = np.arange(len(at))
+    while len(lanes):
+        lanes = lanes[block[x[lanes]] == block[y[lanes]]]
+        x[lanes] += FIRST
+        y[lanes] += FIRST
+    lanes = np.arange(len(at))
+    while len(lanes):
+        here = lanes[np.maximum(x[lanes], y[lanes]) < n]
+        lanes = here[symbols[x[here]] == symbols[y[here]]]
+        x[lanes] += 1
+        y[lanes] += 1
+    out[at] = x - at
+    place = np.arange(n, dtype=np.int32)
+    last = np.maximum.accumulate(np.where(fresh, place, 0))
+    return out[last] - (place - last)
 
 
 def repeated_windows(texts: list[bytes], length: int) -> list[np.ndarray]:
@@ -87,7 +100,7 @@ def repeated_windows(texts: list[bytes], length: int) -> list[np.ndarray]:
     for s, t in zip(starts.tolist(), texts):
         symbols[s : s + len(t)] = np.frombuffer(t, np.uint8).astype(np.int16) + 1
     sa = suffix_array(symbols)
-    prefix = common_prefixes(symbols, sa, starts, sizes, length)
+    prefix = common_prefixes(symbols, sa)
     long = prefix[sa] >= length
     found = np.zeros(len(symbols), bool)
     found[sa] = long | np.append(long[1:], False)
