@@ -1,7 +1,7 @@
 """Which columns identify the same person: overlap of normalised value sets.
 
 All id and name columns of all tables become one long (column, kind, key) table; one
-distinct, one self-join on (kind, key) and one aggregation give every pair's overlap.
+aggregation by key gives the columns that hold it, and from these every pair's overlap.
 """
 
 from __future__ import annotations
@@ -47,23 +47,31 @@ def long_keys(tables: list[Table], exact: bool = True) -> DataFrame:
 
 
 def column_stats(keys: DataFrame) -> DataFrame:
-    """(t, c, kind, n, uniques, nulls): filled cells, distinct keys, empty cells."""
-    per = keys.groupBy("t", "c", "kind", "key").agg(F.count("*").alias("m"))
-    filled = F.col("key").isNotNull()
-    return per.groupBy("t", "c", "kind").agg(F.sum(F.when(filled, F.col("m")).otherwise(0)).alias("n"), F.sum(filled.cast("long")).alias("uniques"), F.sum(F.when(filled, 0).otherwise(F.col("m"))).alias("nulls"))
+    """(t, c, kind, n, nulls): filled and empty cells of each column."""
+    return keys.groupBy("t", "c", "kind").agg(F.count("key").alias("n"), F.count_if(F.col("key").isNull()).alias("nulls"))
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(a, b, shared): distinct keys that columns a and b of one kind have in common; a = b gives a column's own.
+
+    One exchange by key: each key's set of columns (bounded by the number of columns) is
+    combined before it, and pairs of columns are counted from these sets.
+    """
+    sets = keys.where("key IS NOT NULL").groupBy("kind", "key").agg(F.sort_array(F.collect_set(F.struct("t", "c"))).alias("cols"))
+    pairs = sets.select("cols", F.posexplode("cols").alias("p", "a")).select("a", F.explode(F.expr("slice(cols, p + 1, size(cols))")).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def overlaps(keys: DataFrame) -> DataFrame:
     """A row for each pair of same-kind columns of different tables, with counts only (ratios come from counts)."""
-    distinct = keys.where("key IS NOT NULL").distinct()
-    stats = column_stats(keys).where("n > 0")
+    shared = shared_keys(keys)  # a row for each pair of columns
+    own = shared.where("a = b").select(F.col("a.t").alias("t"), F.col("a.c").alias("c"), F.col("shared").alias("uniques"))
+    stats = column_stats(keys).join(own, ["t", "c"])
     a = stats.select(*[F.col(x).alias(f"a_{x}") for x in ("t", "c", "n", "uniques", "nulls")], "kind")
     b = stats.select(*[F.col(x).alias(f"b_{x}") for x in ("t", "c", "n", "uniques", "nulls")], "kind")
-    left = distinct.select(F.col("t").alias("a_t"), F.col("c").alias("a_c"), "kind", "key")
-    right = distinct.select(F.col("t").alias("b_t"), F.col("c").alias("b_c"), "kind", "key")
-    met = left.join(right, ["kind", "key"]).where("a_t < b_t").groupBy("a_t", "a_c", "b_t", "b_c").agg(F.count("*").alias("overlap"))
+    met = shared.select(F.col("a.t").alias("a_t"), F.col("a.c").alias("a_c"), F.col("b.t").alias("b_t"), F.col("b.c").alias("b_c"), F.col("shared").alias("overlap"))
     pairs = a.join(b, "kind").where("a_t < b_t")  # a row for each column, not for each key
-    return pairs.join(met, ["a_t", "a_c", "b_t", "b_c"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    return pairs.join(met, ["a_t", "a_c", "b_t", "b_c"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("long")))
 
 
 def only_examples(keys: DataFrame, a: tuple[int, int], b: tuple[int, int]) -> tuple[list[str], list[str]]:
