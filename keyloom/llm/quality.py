@@ -2,8 +2,8 @@
 
 Lines are normalised (lower case, digits to 0, runs of white space to one space) and
 hashed. For each host and line the distinct documents (distinct texts) are counted; a
-line in more than ``max_docs`` of them is removed from all but the first text that has
-it. A document left with fewer than ``min_words`` words or less than ``min_share`` of
+line in more than ``max_docs`` of them is removed from all but the text with the smallest
+id that has it. A document left with fewer than ``min_words`` words or less than ``min_share`` of
 its words is rejected as depleted.
 
 Defined results: a null or empty text has no words and fails the base rule; exact copies
@@ -90,9 +90,11 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 10, min_words: int = 10, min_share: float = 0.3) -> DataFrame:
     """Base counts, ``base_failed``, ``n_removed_lines``, ``n_left_words`` and ``kept``, a row for each input row."""
     rows = staged(measured(docs, id_col, text_col, host_col), "quality")
-    lines = rows.select("host", "text_key", F.explode(F.array_distinct("line_keys")).alias("line"))
+    lines = rows.select("host", "text_key", "id", F.explode(F.array_distinct("line_keys")).alias("line"))
     # (host, line, text) without copies, then texts for each (host, line): both sum up before they shuffle
-    counts = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("n"), F.min("text_key").alias("first"))
+    texts = lines.groupBy("host", "line", "text_key").agg(F.coalesce(F.min("id"), F.lit((1 << 63) - 1)).alias("id"))
+    counts = texts.groupBy("host", "line").agg(F.count("*").alias("n"), F.min(F.struct("id", "text_key")).alias("least"))
+    counts = counts.select("host", "line", "n", F.col("least.text_key").alias("first"))
     frequent = counts.where(F.col("n") > max_docs).select(F.col("host").alias("h"), "line", "first")
     placed = rows.select("host", "text_key", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select("host", "text_key", F.col("l.line_keys").alias("line"), F.col("l.line_words").alias("words"))
     per_text = placed.groupBy("host", "text_key", "line").agg(F.sum("words").alias("words"), F.count("*").alias("lines"))
