@@ -58,7 +58,7 @@ def log_rows(merge: Merge, counts: dict, recipe: str | None) -> list[list[str]]:
     """The audit log as 项目 / 内容 rows."""
     infos = [s.table.info for s in merge.sources]
     rows = [
-        ["多表人员信息汇总助手 · 合并日志", ""],
+        ["合并日志", ""],
         ["执行时间", stamp()["created"]],
         ["脚本版本", f"{TOOL} {VERSION}（读取后端：spark）"],
         ["关联键选择", "；".join(f"{s.file}[{s.key_col}]" for s in merge.sources)],
