@@ -123,16 +123,23 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, z: float = 6.0, min_
     none = Model(np.zeros(0, np.int64), np.zeros(0), np.full(1, 40.0))
     if not top or not sum(map(len, rows)):
         return none
-    names, column = np.unique(np.concatenate(rows), return_inverse=True)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
+    # features of too few rows go first, so that what follows is small
+    every = np.concatenate(rows).astype(np.int32, copy=False)
+    names = np.flatnonzero(np.bincount(every, minlength=1) >= min_rows)
+    place = np.full(int(every.max()) + 1, -1, np.int32)
+    place[names] = np.arange(len(names), dtype=np.int32)
+    column = place[every]
+    held = column >= 0
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])[held]
+    column = column[held]
+    del every, held, place
     target = (grades[:, None] > np.arange(top)[None, :]).astype(float)
 
     def only(wanted: np.ndarray) -> None:
         nonlocal names, column, row
-        held = wanted[column]
-        column, row, names = (np.cumsum(wanted) - 1)[column[held]], row[held], names[wanted]
+        kept = wanted[column]
+        column, row, names = (np.cumsum(wanted, dtype=np.int32) - 1)[column[kept]], row[kept], names[wanted]
 
-    only(np.bincount(column, minlength=len(names)) >= min_rows)
     share = target.mean(0)
     l1 = z * np.sqrt(np.bincount(column, minlength=len(names)) * (share * (1 - share)).sum()) / n
     # a feature whose first gradient is under half its penalty won't be picked; leaving it out keeps the fit small
