@@ -9,8 +9,10 @@ smallest member, pairs are verified by weighted Jaccard similarity of the whole
 sets, and verified pairs are joined into classes.
 
 Equal texts are one node from the start. A group of n texts gives at most n - 1 pairs for
-each key, so no group is expanded into all pairs; members that turn out not to resemble
-the group's smallest member are grouped again among themselves, for ``rounds`` rounds.
+each key and round, so no group is expanded into all pairs. A group is settled once all
+its members are in one class; until then its other members, linked or not, are grouped
+again, for ``rounds`` rounds. What is left goes to an exact prefix-filter join, so every
+pair that shares a band is in one class, verified, or bound to be below the threshold.
 Sampling finds a pair at the threshold in a band with probability 0.64 and in one of
 twelve with 0.999995; tests measure recall of classes against brute force.
 
@@ -44,6 +46,8 @@ SHINGLE = 5
 #: Weights are kept in steps of 1 / SCALE.
 SCALE = 8
 CACHE_WORDS = 400_000
+#: Buckets in which the exact join counts shingles.
+PLACES = 1 << 20
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
 _hashes: dict[str, int] = {}
@@ -245,6 +249,54 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return met.select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long, ok boolean")
 
 
+def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of all members that can reach the threshold and aren't in one class, by an exact prefix filter.
+
+    A set's shingles are put into one global order, rarest first. Of two sets at the
+    threshold, the first shared shingle leaves at least the threshold's share of each
+    set's weight from there on, so it is in both prefixes. Frequencies are counted in
+    hashed buckets; they only decide on the order, so nothing depends on their precision.
+    Members of one class are kept in a list, so they don't meet each other.
+    """
+    nodes = left.groupBy("node").agg(F.min("root").alias("root")).withColumnRenamed("node", "n")
+    wanted = staged(sets.join(nodes, F.col("node") == F.col("n")).select("node", "root", "packed"), "wanted")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            for packed_ in batch.column(0).to_pylist():
+                total[np.unique((np.frombuffer(packed_, "<u4") >> 8) % PLACES)] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["b", "n"])
+
+    found = wanted.select("packed").mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(PLACES, np.int32)
+    often[found["b"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
+    shared = left.sparkSession.sparkContext.broadcast(often)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for packed_ in batch.column(2).to_pylist():
+                both = np.frombuffer(packed_, "<u4")
+                e, at = np.unique(both >> 8, return_inverse=True)
+                w = np.bincount(at, both & 255)
+                order = np.lexsort((e, shared.value[e % PLACES]))
+                rest = np.cumsum(w[order][::-1])[::-1]
+                lists.append(e[order][rest >= threshold * w.sum() - 1e-6].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["node", "root", "firsts"])
+
+    firsts = wanted.mapInArrow(prefix, "node long, root long, firsts array<int>").select("node", "root", F.explode("firsts").alias("e"))
+    lists = staged(firsts.groupBy("e", "root").agg(F.collect_list("node").alias("held")), "firsts")
+    several = lists.groupBy("e").agg(F.count("*").alias("n")).where("n > 1").select(F.col("e").alias("e_"))
+    lists = lists.join(several, F.col("e") == F.col("e_")).select("e", "root", "held")
+    other = lists.toDF("f", "far", "others")
+    met = lists.join(other, (F.col("e") == F.col("f")) & (F.col("root") < F.col("far"))).select("held", "others").distinct()
+    met = met.select(F.explode("held").alias("p"), "others").select("p", F.explode("others").alias("q"))
+    # the larger one first, as in the rounds
+    return met.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 12, rows: int = 2, rounds: int = 3) -> DataFrame:
     """(id, key, class_id, n_links): a row for each input row; ``key`` is the text's digest."""
     idf = inverse_frequencies(document_frequencies(docs, text_col))
@@ -260,34 +312,43 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     crowded = single.join(shared, F.col("k") == F.col("key_")).select("node").distinct().withColumnRenamed("node", "n")
     members = staged(members.join(crowded, F.col("node") == F.col("n"), "left_semi"), "crowded")
     keyed = members.select("node", F.explode(F.array_distinct("keys")).alias("k"))
-    crowd = keyed.groupBy("k").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("key_"), "pivot")
-    met = staged(keyed.join(crowd, F.col("k") == F.col("key_")).where("node <> pivot").select("k", "node", "pivot"), "met")
-    light = members.select("node", "weight", "samples")
+    crowd = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("key_"))
+    left = staged(keyed.join(crowd, F.col("k") == F.col("key_")).select("k", "node", F.col("node").alias("root")), "left")
+    light = staged(members.select("node", "weight", "samples", F.slice("keys", 1, bands).alias("bands")), "light")
     edges, done = None, None
     sets = staged(weighted_sets(docs, members, id_col, text_col, idf), "sets")
     # samples that agree are expected to be the similarity's share; a third less than the threshold's can be left out
     least = threshold * bands * rows - 3.5 * (threshold * (1 - threshold) * bands * rows) ** 0.5
-    for _ in range(rounds):
-        pairs = met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    for n in range(rounds + 1):
+        last = n == rounds
+        if last:
+            pairs = prefix_pairs(left, sets, threshold)
+        else:
+            crowd = left.groupBy("k").agg(F.min(F.struct("node", "root")).alias("p")).select(F.col("k").alias("key_"), "p.*").toDF("key_", "pivot", "pivot_root")
+            met = left.join(crowd, F.col("k") == F.col("key_")).where("node <> pivot")
+            pairs = met.where("root <> pivot_root").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        x = light.select(F.col("node").alias("n"), F.col("weight").alias("wa"), F.col("samples").alias("sa"))
-        y = light.select(F.col("node").alias("m"), F.col("weight").alias("wb"), F.col("samples").alias("sb"))
+        x = light.select(F.col("node").alias("n"), F.col("weight").alias("wa"), F.col("samples").alias("sa"), F.col("bands").alias("ka"))
+        y = light.select(F.col("node").alias("m"), F.col("weight").alias("wb"), F.col("samples").alias("sb"), F.col("bands").alias("kb"))
         pairs = pairs.join(x, F.col("a") == F.col("n")).join(y, F.col("b") == F.col("m"))
         agree = F.size(F.filter(F.zip_with("sa", "sb", lambda p, q: p == q), lambda e: e))
         fits = (F.least("wa", "wb") >= threshold * F.greatest("wa", "wb")) & (agree >= least)
-        pairs = staged(pairs.select("a", "b", fits.alias("fits")), "pairs")
-        judged = verified(pairs.where("fits").select("a", "b"), sets, threshold).unionByName(pairs.where("NOT fits").select("a", "b", F.lit(False).alias("ok")))
-        judged = staged(judged, "judged")
+        pairs = pairs.where(fits & F.arrays_overlap("ka", "kb")) if last else pairs.where(fits)
+        judged = staged(verified(staged(pairs.select("a", "b"), "pairs"), sets, threshold), "judged")
         new = judged.where("ok").select("a", "b")
         edges = new if edges is None else edges.unionByName(new)
+        if last:
+            break
         seen = judged.select("a", "b")
         done = seen if done is None else done.unionByName(seen)
-        # those that don't resemble their group's smallest member are a group of their own
-        lost = met.join(judged.where("NOT ok").select(F.col("a").alias("node"), F.col("b").alias("pivot")), ["node", "pivot"]).select("k", "node")
-        crowd = lost.groupBy("k").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("key_"), "pivot")
-        met = staged(lost.join(crowd, F.col("k") == F.col("key_")).where("node <> pivot").select("k", "node", "pivot"), "met")
-        if not met.limit(1).count():
+        # the pivot is settled; a group goes on until all its other members are in one class
+        roots = components(edges).select(F.col("node").alias("n"), F.col("root").alias("new_root"))
+        left = met.select("k", "node").join(roots, F.col("node") == F.col("n"), "left").select("k", "node", F.coalesce("new_root", "node").alias("root"))
+        left = staged(left, "labelled")
+        mixed = left.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("k").alias("key_"))
+        left = staged(left.join(mixed, F.col("k") == F.col("key_")).select("k", "node", "root"), "left")
+        if not left.limit(1).count():
             break
     edges = staged(edges.distinct(), "links")
     roots = components(edges).select(F.col("node").alias("n"), "root")

@@ -86,6 +86,21 @@ def test_large_group_of_near_copies(spark):
     assert {x.class_id for x in got if x.doc_id < 120} == {0} and sum(x.n_links == 0 for x in got) == 60
 
 
+def test_pairs_in_crowded_groups(spark):
+    """Near copies among many unlike documents that share a long passage."""
+    r = random.Random(8)
+    words = lambda n: [f"{r.choice('abcdefgh')}{r.randrange(90000)}" for _ in range(n)]
+    passage, rows = words(1500), []
+    for i in range(60):
+        own = words(60)
+        rows += [(i, " ".join(passage + own)), (1000 + r.randrange(100) * 100 + i, " ".join(passage + own[: 60 - 15 - i % 17] + words(15 + i % 17)))]
+    idf = neardup.inverse_frequencies(neardup.document_frequencies(docs(spark, rows), "text"))
+    expected, links = brute_classes(rows, idf)
+    assert 20 <= links < 100
+    for rounds in (3, 0):
+        assert {x.doc_id: x.class_id for x in neardup.classes(docs(spark, rows), rounds=rounds).collect()} == expected
+
+
 def test_odd_rows(spark):
     got = neardup.classes(docs(spark, ODD)).collect()
     assert len(got) == len(ODD)
