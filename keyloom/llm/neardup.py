@@ -174,7 +174,7 @@ def band_keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, idf: np.ndarray, bands: int, rows: int) -> DataFrame:
-    """(id, key, weight, keys, samples) of each row; ``samples`` are cut to 16 bits."""
+    """(id, key, weight, keys) of each row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(idf)
 
@@ -185,14 +185,13 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, idf: np.ndarray, bands:
             sizes = np.array([len(h) for h, _ in sets])
             full = np.flatnonzero(sizes)
             codes = np.zeros((len(sets), 3 * bands), np.int64)
-            small = np.zeros((len(sets), bands * rows), np.int16)
             if len(full):
                 s = sampler.sample(np.concatenate([sets[i][0] for i in full]), np.concatenate([sets[i][1] for i in full]), sizes[full])
-                codes[full], small[full] = band_keys(s, bands, rows), (s >> U(48)).astype(np.int16)
-            lists = lambda m, kind: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.ravel(), kind))
+                codes[full] = band_keys(s, bands, rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, codes.shape[1]), pa.int32()), pa.array(codes.ravel(), pa.int64()))
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array([int(w.sum()) for _, w in sets], pa.int64()), lists(codes, pa.int64()), lists(small, pa.int16())],
-                ["id", "key", "weight", "keys", "samples"],
+                [pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array([int(w.sum()) for _, w in sets], pa.int64()), lists],
+                ["id", "key", "weight", "keys"],
             )
 
         for batch in batches:
@@ -209,7 +208,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, idf: np.ndarray, bands:
                 yield out(ids, keys, sets)
 
     rows_ = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    return rows_.mapInArrow(run, "id long, key string, weight long, keys array<long>, samples array<short>")
+    return rows_.mapInArrow(run, "id long, key string, weight long, keys array<long>")
 
 
 def weighted_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, idf: np.ndarray) -> DataFrame:
@@ -305,7 +304,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     names = sketched.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
     nodes = staged(names, "nodes")
     first = sketched.where("weight > 0").join(nodes.where("node IS NOT NULL"), "key").where(F.col("id") == F.col("node"))
-    members = staged(first.groupBy("node").agg(*[F.first(c).alias(c) for c in ("key", "weight", "keys", "samples")]), "members")
+    members = staged(first.groupBy("node").agg(*[F.first(c).alias(c) for c in ("key", "weight", "keys")]), "members")
     # most texts agree with no other in any band; only the others' keys of two and three bands are looked at
     single = members.select("node", F.explode(F.array_distinct(F.slice("keys", 1, bands))).alias("k"))
     shared = single.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("key_"))
@@ -314,11 +313,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     keyed = members.select("node", F.explode(F.array_distinct("keys")).alias("k"))
     crowd = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("key_"))
     left = staged(keyed.join(crowd, F.col("k") == F.col("key_")).select("k", "node", F.col("node").alias("root")), "left")
-    light = staged(members.select("node", "weight", "samples", F.slice("keys", 1, bands).alias("bands")), "light")
+    light = staged(members.select("node", "weight", F.slice("keys", 1, bands).alias("bands")), "light")
     edges, done = None, None
     sets = staged(weighted_sets(docs, members, id_col, text_col, idf), "sets")
-    # samples that agree are expected to be the similarity's share; a third less than the threshold's can be left out
-    least = threshold * bands * rows - 3.5 * (threshold * (1 - threshold) * bands * rows) ** 0.5
     for n in range(rounds + 1):
         last = n == rounds
         if last:
@@ -329,11 +326,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             pairs = met.where("root <> pivot_root").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        x = light.select(F.col("node").alias("n"), F.col("weight").alias("wa"), F.col("samples").alias("sa"), F.col("bands").alias("ka"))
-        y = light.select(F.col("node").alias("m"), F.col("weight").alias("wb"), F.col("samples").alias("sb"), F.col("bands").alias("kb"))
+        x = light.select(F.col("node").alias("n"), F.col("weight").alias("wa"), F.col("bands").alias("ka"))
+        y = light.select(F.col("node").alias("m"), F.col("weight").alias("wb"), F.col("bands").alias("kb"))
         pairs = pairs.join(x, F.col("a") == F.col("n")).join(y, F.col("b") == F.col("m"))
-        agree = F.size(F.filter(F.zip_with("sa", "sb", lambda p, q: p == q), lambda e: e))
-        fits = (F.least("wa", "wb") >= threshold * F.greatest("wa", "wb")) & (agree >= least)
+        # a bound, not an estimate: the smaller weight is the most that two sets share
+        fits = F.least("wa", "wb") >= threshold * F.greatest("wa", "wb")
         pairs = pairs.where(fits & F.arrays_overlap("ka", "kb")) if last else pairs.where(fits)
         judged = staged(verified(staged(pairs.select("a", "b"), "pairs"), sets, threshold), "judged")
         new = judged.where("ok").select("a", "b")

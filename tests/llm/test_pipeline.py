@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
 from keyloom.llm import neardup, queries
 from keyloom.llm.components import components
 
@@ -101,6 +102,27 @@ def test_pairs_in_crowded_groups(spark):
         assert {x.doc_id: x.class_id for x in neardup.classes(docs(spark, rows), rounds=rounds).collect()} == expected
 
 
+def test_every_candidate_is_verified(spark, monkeypatch):
+    """A pair at the threshold is verified even if few of its samples agree."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:-12] + [f"x{i}y{k}" for k in range(12)])) for i in range(2)]
+    table = docs(spark, rows)
+    draw = neardup.Sampler.sample
+
+    def unlucky(self, h, w, sizes):
+        out = draw(self, h, w, sizes)
+        # a band in common, every other sample apart
+        out[:, :2] = np.arange(2)
+        out[:, 2:] += np.add.reduceat(h, np.cumsum(sizes) - sizes)[:, None]
+        return out
+
+    idf = neardup.inverse_frequencies(neardup.document_frequencies(table, "text"))
+    sets = [neardup.packed(*neardup.shingles(neardup.word_hashes(t), idf)) for _, t in rows]
+    assert neardup.jaccard(*sets) >= 0.8
+    monkeypatch.setattr(neardup, "Sampler", type("Unlucky", (neardup.Sampler,), {"sample": unlucky}))
+    assert [x.class_id for x in neardup.classes(table).collect()] == [0, 0]
+
+
 def test_odd_rows(spark):
     got = neardup.classes(docs(spark, ODD)).collect()
     assert len(got) == len(ODD)
