@@ -19,7 +19,8 @@ twelve with 0.999995; tests measure recall of classes against brute force.
 Defined results: a text without words (null, empty, white space) is a class of its own
 unless its id has one; texts of fewer than five words are one shingle; repeated rows and
 equal texts share a class; a null id stands for no document: its row gets a class by its
-text (the smallest id of it, or null); an empty table gives an empty one; other columns
+text (the smallest id of it, or null); different texts under one id are searched and
+classed each for itself, and of near copies under one id one is kept; an empty table gives an empty one; other columns
 are not read.
 """
 
@@ -230,7 +231,7 @@ def weighted_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     # repeated rows are one
     texts = texts.mapInArrow(pack, "id long, key string, blob binary").groupBy("id", "key").agg(F.first("blob").alias("blob"))
-    met = texts.join(nodes.select("node", F.col("key").alias("k")), (F.col("id") == F.col("node")) & (F.col("key") == F.col("k"))).select("node", "blob")
+    met = texts.join(nodes.select("node", "least_id", F.col("key").alias("k")), (F.col("id") == F.col("least_id")) & (F.col("key") == F.col("k"))).select("node", "blob")
     return met.mapInArrow(run, "node long, packed binary")
 
 
@@ -297,14 +298,15 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float) -> DataFram
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 12, rows: int = 2, rounds: int = 3) -> DataFrame:
-    """(id, key, class_id, n_links): a row for each input row; ``key`` is the text's digest."""
+    """(id, key, class_id, n_links, head): a row for each input row; ``key`` is the text's digest, ``head`` says if it is the class's first text."""
     idf = inverse_frequencies(document_frequencies(docs, text_col))
     sketched = staged(sketch(docs, id_col, text_col, idf, bands, rows), "sketch")
-    # one node for each text, named by its smallest id
-    names = sketched.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
-    nodes = staged(names, "nodes")
-    first = sketched.where("weight > 0").join(nodes.where("node IS NOT NULL"), "key").where(F.col("id") == F.col("node"))
-    members = staged(first.groupBy("node").agg(*[F.first(c).alias(c) for c in ("key", "weight", "keys")]), "members")
+    # one node for each text, whatever its ids; nodes are numbered, and the numbers say nothing of ids
+    names = sketched.groupBy("key").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"))
+    nodes = staged(names.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # rows of one text are alike but for their ids; the one with the smallest id is read
+    first = sketched.where("weight > 0").join(nodes.where("least_id IS NOT NULL").select("key", "node", "least_id"), "key").where(F.col("id") == F.col("least_id"))
+    members = staged(first.groupBy("node").agg(*[F.first(c).alias(c) for c in ("key", "weight", "keys", "least_id")]), "members")
     # most texts agree with no other in any band; only the others' keys of two and three bands are looked at
     single = members.select("node", F.explode(F.array_distinct(F.slice("keys", 1, bands))).alias("k"))
     shared = single.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("key_"))
@@ -351,14 +353,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     roots = components(edges).select(F.col("node").alias("n"), "root")
     links = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("l")).agg(F.count("*").alias("links"))
     named = nodes.join(roots, F.col("node") == F.col("n"), "left").join(links, F.col("node") == F.col("l"), "left")
-    named = named.select(F.col("key").alias("k"), F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = named.select(F.col("key").alias("k"), F.coalesce("root", "node").alias("root"), "least_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = staged(named, "named")
+    # a class goes by its smallest id; of texts that tie at it, the one with the smallest digest is its first
+    heads = named.groupBy(F.col("root").alias("r")).agg(F.min(F.when(F.col("least_id").isNotNull(), F.struct("least_id", "k"))).alias("head"))
+    named = named.join(heads, F.col("root") == F.col("r")).select("k", "n_links", F.col("head.least_id").alias("class"), F.col("head.k").alias("head_key"))
     out = sketched.select("id", "key", "weight").join(named, F.col("key") == F.col("k"))
     blank = F.col("weight") == 0
-    return out.select(F.col("id").alias(id_col), "key", F.when(blank, F.col("id")).otherwise(F.col("root")).alias("class_id"), F.when(blank, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    return out.select(F.col("id").alias(id_col), "key", F.when(blank, F.col("id")).otherwise(F.col("class")).alias("class_id"), F.when(blank, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), (blank | (F.col("key") == F.col("head_key"))).alias("head"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """One document of each class, with its own columns: the one with the smallest id."""
     found = classes(docs, id_col, text_col, **params)
-    gone = found.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__id"), F.col("key").alias("__key")).distinct()
+    gone = found.where((F.col(id_col) != F.col("class_id")) | ~F.col("head")).select(F.col(id_col).alias("__id"), F.col("key").alias("__key")).distinct()
     return docs.join(gone, (F.col(id_col) == F.col("__id")) & (text_key(F.col(text_col)) == F.col("__key")), "left_anti")

@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter, defaultdict
+from hashlib import md5
 
 import corpus_pipeline
 import numpy as np
@@ -123,6 +124,19 @@ def test_every_candidate_is_verified(spark, monkeypatch):
     assert [x.class_id for x in neardup.classes(table).collect()] == [0, 0]
 
 
+def test_tied_ids(spark):
+    """Texts are searched and classed for themselves, whatever their ids."""
+    words = lambda c: [f"{c}{i}" for i in range(100)]
+    x, y, z = " ".join(words("x")), " ".join(words("y")), " ".join(words("z"))
+    near = lambda t: t + " more"
+    rows = [(3, near(x)), (5, x), (5, y), (6, z), (6, near(z)), (9, near(y))]
+    found = {(r.doc_id, r.key): r.class_id for r in neardup.classes(docs(spark, rows)).collect()}
+    key = lambda t: md5(t.encode()).hexdigest()
+    assert found == {(i, key(t)): c for (i, t), c in zip(rows, [3, 3, 5, 6, 6, 5])}
+    kept = {(r.doc_id, r.text) for r in neardup.keep_first(docs(spark, rows)).collect()}
+    assert kept in ({(3, near(x)), (5, y), r} for r in rows[3:5])
+
+
 def test_odd_rows(spark):
     got = neardup.classes(docs(spark, ODD)).collect()
     assert len(got) == len(ODD)
