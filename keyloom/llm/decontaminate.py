@@ -6,11 +6,16 @@ seeds of all windows of the training texts; each hit fixes an alignment, along w
 item's words are compared with the text's (substitutions cost a word each). A text holds
 an item if at least ``threshold`` of the item's words agree along one alignment.
 
+Masks alone miss some patterns of substitutions and all short items. An item that may
+lose m words is therefore also cut into m + 1 parts, and each part's first words (RUN at
+most) are a seed: one part at least is whole in every text that holds the item, so no
+alignment at the threshold is missed. Lengths of parts that no item has cost nothing.
+
 The benchmark's seeds are broadcast only if they are counted to be at most
 ``max_broadcast`` rows; beyond that, seeds meet by a shuffle that carries no texts.
 
-Defined results: null and empty texts and items hold nothing; a text or item shorter
-than every mask has no seed and isn't matched; repeated items (same id and text) count
+Defined results: null and empty texts and items hold nothing; items of
+any length are matched (under five words, at 0.8, only as a whole); repeated items (same id and text) count
 once, tied item ids are reported once, with the best agreement; repeated rows give one
 result for each id and text; empty tables give an empty one; other columns are not read.
 """
@@ -23,6 +28,8 @@ from pyspark.sql import functions as F
 from .words import spaced, word_array
 
 MASKS = ("1101011", "110010111")
+#: Longest run of words that is a seed of its own.
+RUN = 4
 MAX_BROADCAST = 500_000
 #: Window starts of a piece of a text.
 PIECE = 256
@@ -32,10 +39,10 @@ def word_hashes(text: str) -> Column:
     return F.transform(word_array(spaced(text)), lambda w: F.xxhash64(w))
 
 
-def seeds(hashes: str, at: str, masks: tuple[str, ...]) -> Column:
+def seeds(hashes: str, at: str, masks: tuple[str, ...], number: int = 0) -> Column:
     """The seeds of the window that begins at word ``at``, one for each mask; null past the end."""
     out = []
-    for n, mask in enumerate(masks):
+    for n, mask in enumerate(masks, number):
         picked = [F.expr(f"get({hashes}, {at} + {i})") for i, x in enumerate(mask) if x == "1"]
         out.append(F.when(F.expr(f"{at} + {len(mask)} <= size({hashes})"), F.xxhash64(F.lit(n), *picked)))
     return F.array(*out)
@@ -63,12 +70,23 @@ def positions(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8, masks: tuple[str, ...] = MASKS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(id, text_key, item, item_words, n_matched, start, overlap): each text and item that meet, at the best alignment."""
-    shortest, span = min(map(len, masks)), max(map(len, masks))
     items = benchmark.select(F.col(item_col).alias("item"), word_hashes(item_text_col).alias("h")).distinct()
-    longest = items.agg(F.max(F.size("h"))).first()[0] or 0
-    margin = max(span, longest)
+    items = items.where(F.size("h") > 0)
+    # words that may be lost, the words of a part, and those of them that are a seed
+    parts = items.withColumn("lost", F.size("h") - F.ceil(F.lit(threshold) * F.size("h") - 1e-9).cast("int"))
+    parts = parts.withColumn("part", F.expr("size(h) div (lost + 1)").cast("int")).withColumn("run", F.least(F.lit(RUN), F.greatest(F.lit(1), "part")))
+    # at most RUN lengths, and the longest item
+    sizes = parts.agg(F.max(F.size("h")).alias("longest"), F.collect_set("run").alias("runs")).first()
+    spans, runs = masks, sorted(sizes["runs"])
+    masks = (*spans, *("1" * r for r in runs))
+    shortest, span = min(map(len, masks)), max(map(len, masks))
+    margin = max(span, sizes["longest"] or 0)
     whole = items.where(F.size("h") >= shortest).withColumn("first", F.lit(0)).withColumn("last", F.size("h") - shortest)
-    sown = positions(whole, masks).select("seed", "item", F.col("h").alias("item_h"), F.col("at").alias("item_at"))
+    sown = positions(whole, spans).select("seed", "item", F.col("h").alias("item_h"), F.col("at").alias("item_at"))
+    for n, r in enumerate(runs, len(spans)):
+        starts = parts.where(F.col("run") == r).select("item", "h", F.explode(F.expr("transform(sequence(0, lost), j -> j * part)")).alias("at"))
+        sown = sown.unionByName(starts.select(F.explode(seeds("h", "at", masks[n : n + 1], n)).alias("seed"), "item", F.col("h").alias("item_h"), F.col("at").alias("item_at")))
+    sown = sown.where("seed IS NOT NULL")
     few = sown.select("seed").limit(max_broadcast + 1).count() <= max_broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), word_hashes(text_col).alias("h"))
     texts = pieces(texts, margin, shortest)

@@ -1,6 +1,7 @@
 """License scan and decontamination against brute force."""
 
 import re
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -103,3 +104,20 @@ def test_leaks_are_brute_force(spark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(t[0] or -1 for t in texts if t[0] not in {k[0] for k in expected})
     assert decontaminate.report(docs(spark, []), benchmark).count() == 0
     assert decontaminate.report(docs(spark, texts), benchmark.limit(0)).count() == 0
+
+
+def test_every_substitution_is_found(spark):
+    """All patterns at the threshold, of items from one word on."""
+    texts, items, expected = [], [], set()
+    for n in (1, 3, 4, 5, 6, 7, 8, 10, 11):
+        item = [f"n{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        for k in range(n // 5 + 2):
+            for lost in combinations(range(n), k):
+                texts.append((len(texts), "before " + " ".join("other" if i in lost else w for i, w in enumerate(item)) + " after"))
+                if n - k >= 0.8 * n:
+                    expected.add((texts[-1][0], n))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for bound in (decontaminate.MAX_BROADCAST, 0):
+        got = decontaminate.report(docs(spark, texts), benchmark, max_broadcast=bound).collect()
+        assert len(got) == len(expected) and {(r.doc_id, r.item_id) for r in got} == expected
