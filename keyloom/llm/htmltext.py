@@ -177,6 +177,25 @@ def content_paths(blocks: list[Block], share: float = 0.5) -> set[str]:
     return {p for p in total if length[p] and total[p] / count[p] >= least}
 
 
+def named_roots(named: set[int], content: list[Block]) -> set[int]:
+    """The named elements that hold content; an outer one only if it has content outside the inner ones."""
+    return {[n for n in b.nodes if n in named][-1] for b in content if not named.isdisjoint(b.nodes)}
+
+
+def branches(content: list[Block], tags: dict[int, str]) -> set[int]:
+    """The lowest element that covers all content, or those of its children that hold some; none for the whole page."""
+    deep = 0
+    while all(len(b.nodes) > deep and b.nodes[deep] == content[0].nodes[deep] for b in content):
+        deep += 1
+    text = ("p", "li", "td", "tr", "pre", *HEADINGS)
+    while deep and tags.get(content[0].nodes[deep - 1]) in text:
+        deep -= 1
+    below = {b.nodes[deep] if len(b.nodes) > deep else None for b in content}
+    if all(n is not None and tags.get(n) not in text for n in below):
+        return below
+    return {content[0].nodes[deep - 1]} if deep else set()
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, joined by line ends."""
     if not page:
@@ -194,23 +213,12 @@ def main_text(page: str | None) -> str:
         for b in blocks:
             for node in b.nodes:
                 held[node] = held.get(node, 0) + len(b.text)
-    root = None
-    if held:
-        named = [n for n in held if tags.get(n) in ("article", "main")]
-        # the deepest element that holds most of the content: a named one first
-        most = max(held.values())
-        if named:
-            best = max(held[n] for n in named)
-            root = max(n for n in named if held[n] >= 0.8 * best and n in held)
-        else:
-            root = max((n for n in held if held[n] >= 0.7 * most), default=None)
-            while root is not None and tags.get(root) in ("p", "li", "td", "tr", "pre", *HEADINGS):
-                parents = [b.nodes for b in blocks if root in b.nodes][0]
-                i = parents.index(root)
-                root = parents[i - 1] if i else None
+    content = [b for b in blocks if b.path in paths and not b.heading] or blocks
+    named = {n for n in held if tags.get(n) in ("article", "main")}
+    roots = named_roots(named, content) if named else branches(content, tags)
     lines = []
     for b in blocks:
-        inside = root is None or root in b.nodes
+        inside = not roots or not roots.isdisjoint(b.nodes)
         if inside and (b.path in paths or b.heading or b.linked <= 0.5 * len(b.text)):
             lines.append(b.text)
     return "\n".join(lines)

@@ -137,6 +137,16 @@ def test_main_text(spark):
     assert htmltext.extract(frame.limit(0)).count() == 0
 
 
+def test_main_text_of_several_elements():
+    text = lambda c, n: [f"{c}{i} goes on with words, and more words; it ends here." for i in range(n)]
+    p = lambda lines: "".join(f"<p>{x}</p>" for x in lines)
+    a, b = text("a", 20), text("b", 18)
+    for tag in ("article", "main", "div", "section"):
+        for x, y in ((a, b), (a, b[:7]), (b[:7], a)):
+            page = f"<html><body><nav><a href='/'>Home</a></nav><{tag}>{p(x)}</{tag}><{tag}>{p(y)}</{tag}><footer>Imprint</footer></body></html>"
+            assert htmltext.main_text(page) == "\n".join(x + y)
+
+
 def test_main_text_of_pages(spark):
     import re
 
