@@ -86,10 +86,14 @@ def phrases_sql() -> str:
     return "CASE " + " ".join(tests) + " END"
 
 
+#: The SQL's own masks; the operator's seeds find every alignment at the threshold, so these rows too.
+SQL_MASKS = ("1101011", "110010111")
+
+
 def seeds_sql(table: str) -> str:
     """(id, pos, seed) of every window of a table with (id, w)."""
     parts = []
-    for n, mask in enumerate(decontaminate.MASKS):
+    for n, mask in enumerate(SQL_MASKS):
         picked = ", ".join(f"w[pos + {i + 1}]" for i, x in enumerate(mask) if x == "1")
         parts.append(f"SELECT id, pos, concat_ws(' ', '{n}', {picked}) AS seed FROM (SELECT id, w, unnest(range(0, len(w) - {len(mask) - 1})) AS pos FROM {table} WHERE len(w) >= {len(mask)})")
     return " UNION ALL ".join(parts)
