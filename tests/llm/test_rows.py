@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.llm import htmltext, mixing, quality, queries, tokens, toxicity, warc
 from keyloom.llm.common import new_dir
@@ -194,6 +195,33 @@ def test_mixing(spark):
     mixed = mixing.mix(frame)
     assert mixed.columns == frame.columns and mixed.count() == sum(x.copies for x in got)
     assert mixing.plan_mix(docs(spark, [])).count() == 0
+    assert mixing.mix(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("n, other", [(40, 30), (40, 5), (7, 90), (3, 0)])
+def test_mixing_repeated_rows(spark, n, other):
+    """Equal rows come out as often as the plan says, beside columns with inner names."""
+    rows = [(1, "w " * 5, "a")] * n + [(10 + i, "w " * 7, "b") for i in range(other)]
+    frame = docs(spark, rows).repartition(3)
+    plan = mixing.plan_mix(frame).collect()
+    odd = frame.withColumns({c: F.lit(c) for c in ("__id", "__key", "__copies", "__source", "order_key", "tie", "row", "cut", "s")})
+    mixed = mixing.mix(odd)
+    assert mixed.columns == odd.columns
+    got = Counter(x.doc_id for x in mixed.collect())
+    assert got[1] == sum(x.copies for x in plan if x.doc_id == 1) and sum(got.values()) == sum(x.copies for x in plan)
+    words = sum(x.copies * x.size for x in plan if x.doc_id == 1)
+    assert abs(words - plan[0].target) <= 5 if not other else words <= 3 * 5 * n
+
+
+def test_mixing_levels_in_tables(spark, monkeypatch):
+    r = random.Random(9)
+    sizes = [(f"s{i:02d}", r.choice([0, 1, 10, 100, 5000]), i % 3 + 1) for i in range(30)]
+    for table in (sizes, [("a", 3, 1)], [("a", 0, 1)], sizes[:0]):
+        frame = spark.createDataFrame(table, "source string, source_size long, weight long")
+        monkeypatch.setattr(mixing, "DRIVER_SOURCES", 100)
+        few = sorted(mixing.water_levels(frame).collect())
+        monkeypatch.setattr(mixing, "DRIVER_SOURCES", -1)
+        assert sorted(mixing.water_levels(frame).collect()) == few if table else not few
 
 
 def test_toxicity_on_held_out_rows(spark):
