@@ -4,9 +4,12 @@
 writes files whose token column is dictionary-coded and whose id and count columns are
 delta-coded (Parquet writer version 2), in row groups and pages of set sizes with page
 indexes, so a reader can fetch counts without tokens, or tokens of an id range.
-``read_tokens`` reads the files back with positions in the whole stream.
+``read_tokens`` reads the files back with positions in the whole stream; ``read_range``
+reads some columns of an id range, of which the row groups and pages outside the range
+are skipped.
 
-Defined results: a null text is an empty one (only the end id); null ids come first;
+Defined results: texts that spell an added token (as ``<|endoftext|>``) get its id, as the
+tokenizer gives it; a null text is an empty one (only the end id); null ids come first;
 repeated rows and tied ids are all written, ordered by id, then by text digest; an
 empty table gives an empty one; other columns are not read.
 """
@@ -14,6 +17,7 @@ empty table gives an empty one; other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +30,7 @@ from .common import new_dir
 
 #: Words whose ids a worker remembers; the table is emptied when it is full.
 CACHE_WORDS = 1_000_000
+FILES = "shard int, seq long, id long, n_tokens long, tokens array<int>"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -34,8 +39,9 @@ class Encoder:
 
     The vocabulary's pre-tokenizer always cuts before a space or line end that follows
     other than white space and precedes other than white space, and after such a line
-    end. Texts in which all spaces and line ends are of this kind are cut there; others
-    go to the tokenizer whole. The tokenizer encodes each new word, many in one string.
+    end. Texts in which all spaces and line ends are of this kind are cut there; others,
+    and texts that spell one of the vocabulary's added tokens, go to the tokenizer whole.
+    The tokenizer encodes each new word, many in one string.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,7 +49,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.has_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.known: dict[str, bytes] = {}  # key -> ids
         # a token's name has one character for each of its bytes
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
@@ -76,7 +83,8 @@ class Encoder:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         get = self.known.get
-        cut = [self.keys(t) for t in texts]
+        special = {n for n, t in enumerate(texts) if self.has_added(t)}
+        cut = [[] if n in special else self.keys(t) for n, t in enumerate(texts)]
         found = [list(map(get, k)) for k in cut]
         holes = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
         new = {k[i] for k, at in zip(cut, holes) for i in at}
@@ -90,7 +98,8 @@ class Encoder:
         for n, at in enumerate(holes):
             for i in at:
                 found[n][i] = get(cut[n][i])
-            if None in found[n]:  # white space beside white space
+        for n, ids in enumerate(found):
+            if n in special or None in ids:  # white space beside white space
                 found[n] = [self.whole(texts[n])]
         return [b"".join(x) for x in found]
 
@@ -122,13 +131,23 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, id_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.md5(F.col("text").cast("binary")))
     rows = rows.select(F.spark_partition_id().alias("shard"), "id", "text")
-    done = rows.mapInArrow(encode, "shard int, seq long, id long, n_tokens long, tokens array<int>")
+    done = rows.mapInArrow(encode, FILES)
     writer = done.write.option("parquet.writer.version", "PARQUET_2_0").option("parquet.block.size", row_group_bytes).option("parquet.page.row.count.limit", page_rows).option("compression", "zstd")
     for name in ("shard", "seq", "id", "n_tokens"):
         writer = writer.option(f"parquet.enable.dictionary#{name}", "false")
     writer.parquet(out)
 
 
+def read_range(spark: SparkSession, path: str, low: int | None = None, high: int | None = None, columns: tuple[str, ...] = ("id", "n_tokens", "tokens")) -> DataFrame:
+    """Columns of the documents with ids from ``low`` to ``high``: only these columns and the pages that may hold such ids are read."""
+    files = spark.read.schema(FILES).parquet(path)
+    if low is not None:
+        files = files.where(F.col("id") >= low)
+    if high is not None:
+        files = files.where(F.col("id") <= high)
+    return files.select(*columns)
+
+
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of the files; ``start`` counts all ids before a document.
 
@@ -146,7 +165,7 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
             crc = [zlib.crc32(data[a * 4 : b * 4]) for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(crc, pa.int64())], ["shard", "seq", "id", "n_tokens", "ids_crc32"])
 
-    files = spark.read.schema("shard int, seq long, id long, n_tokens long, tokens array<int>").parquet(path)
+    files = spark.read.schema(FILES).parquet(path)
     sums = files.groupBy("shard").agg(F.sum("n_tokens").alias("sum"))
     sums = sums.select("shard", (F.sum("sum").over(Window.orderBy("shard")) - F.col("sum")).alias("before"))
     rows = files.mapInArrow(digest, "shard int, seq long, id long, n_tokens long, ids_crc32 long").join(sums, "shard")

@@ -21,7 +21,6 @@ def test_tokens_are_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(queries.tokenizer_path())
-    whole.encode_special_tokens = True
     r = random.Random(1)
     odd = ["".join(r.choice(["a", "b'", "'s", " ", "  ", "\n", "\t", "é", "9", ".", "漢", "　", "\x1c", "\x00", "<|endoftext|>", "​"]) for _ in range(40)) for _ in range(200)]
     rows = ODD + [(100 + i, t) for i, t in enumerate(odd)]
@@ -51,6 +50,12 @@ def test_token_files(spark):
     assert "DELTA_BINARY_PACKED" in codings["id"] and any("DICTIONARY" in e for e in codings["tokens"])
     assert group.column(0).has_column_index and group.column(0).has_offset_index
     assert tokens.token_table(docs(spark, []), queries.tokenizer_path()).count() == 0
+    every = tokens.read_range(spark, path).collect()
+    some = tokens.read_range(spark, path, 50, 69)
+    assert {x.id: x.tokens for x in some.collect()} == {x.id: x.tokens for x in every if 50 <= x.id <= 69}
+    assert all(x.n_tokens == len(x.tokens) for x in every)
+    plan = tokens.read_range(spark, path, 50, 69, ("id", "n_tokens"))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,50)" in plan and "ReadSchema: struct<id:bigint,n_tokens:bigint>" in plan
 
 
 def brute_quality(text):
