@@ -7,6 +7,7 @@ exports differ in; the exact forms also fold compatibility characters and full c
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,29 +51,49 @@ def norm_key(c: Column, kind: str) -> Column:
     return as_id if kind == "id" else bare
 
 
-def _exact(rule) -> object:
-    """An Arrow UDF (one string column in and out) of a Python rule."""
+#: White space that Python's ``strip`` and ``split`` know among ASCII characters.
+ASCII_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
+
+
+def _bare(values: pa.Array) -> pa.Array:
+    """``squeeze`` without the trailing note, of ASCII texts."""
+    return pc.replace_substring_regex(pc.replace_substring_regex(values, f"[{ASCII_SPACE}]+", ""), TRAILING_NOTE, "", max_replacements=1)
+
+
+def _ascii_key(values: pa.Array, kind: str) -> pa.Array:
+    bare = _bare(values)
+    if kind == "name":
+        return bare
+    as_id = pc.ascii_lower(pc.replace_substring_regex(bare, "(?i)" + ID_PREFIX, "", max_replacements=1))
+    return as_id if kind == "id" else pc.if_else(pc.match_substring_regex(bare, ID_SHAPE), as_id, bare)
+
+
+def _exact(rule, of_ascii) -> object:
+    """An Arrow UDF (one string column in and out): ASCII texts in Arrow's kernels, each distinct other text by the Python rule."""
 
     @F.arrow_udf("string")
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([rule(x) for x in values.to_pylist()], pa.string())
+        values = pc.fill_null(values.cast(pa.string()), "")
+        plain = pc.string_is_ascii(values)
+        if pc.all(plain).as_py() is not False:
+            return of_ascii(values)
+        other = pc.filter(values, pc.invert(plain)).dictionary_encode()
+        ruled = pa.array([rule(x) for x in other.dictionary.to_pylist()], pa.string()).take(other.indices)
+        return pc.replace_with_mask(of_ascii(pc.if_else(plain, values, "")), pc.invert(plain), ruled)
 
     return run
 
 
 def norm_text_exact(c: Column) -> Column:
-    return _exact(T.norm_text)(c)
+    return _exact(T.norm_text, lambda v: pc.utf8_trim(v, ASCII_SPACE))(c)
 
 
 def squeeze_exact(c: Column) -> Column:
-    return _exact(T.squeeze)(c)
+    return _exact(T.squeeze, lambda v: pc.replace_substring_regex(v, f"[{ASCII_SPACE}]+", ""))(c)
 
 
 def norm_key_exact(c: Column, kind: str) -> Column:
-    def rule(value: str | None) -> str:
-        return T.norm_key(value, kind)
-
-    return _exact(rule)(c)
+    return _exact(lambda x: T.norm_key(x, kind), lambda v: _ascii_key(v, kind))(c)
 
 
 def aliases(c: Column) -> Column:

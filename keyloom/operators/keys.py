@@ -1,14 +1,15 @@
 """Which columns identify the same person: overlap of normalised value sets.
 
 All id and name columns of all tables become one long (column, kind, key) table; one
-aggregation by key gives the columns that hold it, and from these every pair's overlap.
+aggregation by key gives a counter for each column that holds it, and from these come
+every column's totals, every pair's overlap and the keys that only one of a pair has.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -24,69 +25,84 @@ class Candidates:
     recommendation: dict | None
 
 
-def long_keys(tables: list[Table], exact: bool = True) -> DataFrame:
-    """(t, c, kind, key): a row for each cell of each id or name column; key is null where the cell is empty."""
+def key_columns(tables: list[Table]) -> list[tuple[int, int, str]]:
+    """(table, place, kind) of the columns that can identify someone."""
+    kinds = [(t, c, header_kind(h)) for t, table in enumerate(tables) for c, h in enumerate(table.info.headers)]
+    return [x for x in kinds if x[2] in ("id", "name")]
+
+
+def key_counts(tables: list[Table], columns: list[tuple[int, int, str]], exact: bool = True) -> DataFrame:
+    """(kind, key, n): for each key, its cells in each column, by the column's place in ``columns``; blank cells have a null key.
+
+    Each table is read once. One exchange by key, combined before it: a key's row has a
+    counter for each column, so nothing grows with the number of its rows.
+    """
     out = None
-    for t, table in enumerate(tables):
-        wanted = [(i, h, header_kind(h)) for i, h in enumerate(table.info.headers)]
-        wanted = [x for x in wanted if x[2] in ("id", "name")]
-        if not wanted:
-            continue
-        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.lit(k).alias("kind"), F.col(f"`{h}`").alias("raw")) for i, h, k in wanted])).alias("x")
-        part = table.df.select(F.lit(t).alias("t"), cells).select("t", "x.*")
+    for t in dict.fromkeys(x[0] for x in columns):
+        own = [(i, c, k) for i, (u, c, k) in enumerate(columns) if u == t]
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("kind"), F.col(f"`{tables[t].info.headers[c]}`").alias("raw")) for i, c, k in own])).alias("x")
+        part = tables[t].df.select(cells).select("x.*")
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no id or name column in any table")
-    text = C.norm_text_exact(F.col("raw")) if exact else C.norm_text(F.col("raw"))
-    out = out.withColumn("raw", text)
-    keyed = [
-        out.where(F.col("kind") == k).withColumn("key", F.when(F.col("raw") != "", C.norm_key_exact(F.col("raw"), k) if exact else C.norm_key(F.col("raw"), k)))
-        for k in ("id", "name")
-    ]
-    return keyed[0].unionByName(keyed[1]).drop("raw")
+    text, key = (C.norm_text_exact, C.norm_key_exact) if exact else (C.norm_text, C.norm_key)
+    out = out.withColumn("raw", text(F.col("raw")))
+    keyed = F.when(F.col("kind") == "id", key(F.col("raw"), "id")).otherwise(key(F.col("raw"), "name"))
+    out = out.select("i", "kind", F.when(F.col("raw") != "", keyed).alias("key"))
+    counts = [F.count_if(F.col("i") == i).alias(f"n{i}") for i in range(len(columns))]
+    return out.groupBy("kind", "key").agg(*counts).select("kind", "key", F.array(*[f"n{i}" for i in range(len(columns))]).alias("n"))
 
 
-def column_stats(keys: DataFrame) -> DataFrame:
-    """(t, c, kind, n, nulls): filled and empty cells of each column."""
-    return keys.groupBy("t", "c", "kind").agg(F.count("key").alias("n"), F.count_if(F.col("key").isNull()).alias("nulls"))
+def column_pairs(columns: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Columns of one kind in different tables, by their places in ``columns``."""
+    every = list(enumerate(columns))
+    return [(i, j) for i, a in every for j, b in every[i + 1 :] if a[0] < b[0] and a[2] == b[2]]
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """(a, b, shared): distinct keys that columns a and b of one kind have in common; a = b gives a column's own.
+def overlaps(counts: DataFrame, columns: list[tuple[int, int, str]]) -> DataFrame:
+    """A row for each pair of columns with counts only (ratios come from counts): (i, j, a_n, a_uniques, a_nulls, b_n, ..., overlap)."""
+    pairs = column_pairs(columns)
+    # what each key adds to the totals of its columns (i, i) and of pairs of them (i, j)
+    held = F.filter(F.transform("n", lambda n, i: F.struct(i.alias("i"), n.alias("n"))), lambda x: x["n"] > 0)
+    met = counts.select(F.col("key").isNull().alias("blank"), held.alias("held"))
+    met = met.select("blank", "held", F.posexplode("held").alias("p", "a"))
+    met = met.select("blank", "a", F.explode(F.when(F.col("blank"), F.array("a")).otherwise(F.expr("slice(held, p + 1, size(held))"))).alias("b"))
+    sums = met.groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.count_if(~F.col("blank")).alias("keys"), F.sum(F.when(~F.col("blank"), F.col("a.n")).otherwise(0)).alias("cells"), F.sum(F.when(F.col("blank"), F.col("a.n")).otherwise(0)).alias("blanks"))
+    # a row for each pair of columns; as one map, so that both ends are looked up without computing it again
+    totals = sums.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("-", "i", "j"), F.struct("keys", "cells", "blanks")))).alias("m"))
+    listed = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs]) if pairs else F.array().cast("array<struct<i:int,j:int>>"))
 
-    One exchange by key: each key's set of columns (bounded by the number of columns) is
-    combined before it, and pairs of columns are counted from these sets.
-    """
-    sets = keys.where("key IS NOT NULL").groupBy("kind", "key").agg(F.sort_array(F.collect_set(F.struct("t", "c"))).alias("cols"))
-    pairs = sets.select("cols", F.posexplode("cols").alias("p", "a")).select("a", F.explode(F.expr("slice(cols, p + 1, size(cols))")).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    def total(i: str, j: str, what: str) -> Column:
+        return F.coalesce(F.try_element_at("m", F.concat_ws("-", i, j))[what], F.lit(0)).cast("long")
 
+    ends = [total(e, e, what).alias(f"{side}_{name}") for side, e in (("a", "i"), ("b", "j")) for name, what in (("n", "cells"), ("uniques", "keys"), ("nulls", "blanks"))]
+    return totals.select("m", listed.alias("x")).select("m", "x.*").select("i", "j", *ends, total("i", "j", "keys").alias("overlap")).where("a_n > 0 AND b_n > 0")
 
-def overlaps(keys: DataFrame) -> DataFrame:
-    """A row for each pair of same-kind columns of different tables, with counts only (ratios come from counts)."""
-    shared = shared_keys(keys)  # a row for each pair of columns
-    own = shared.where("a = b").select(F.col("a.t").alias("t"), F.col("a.c").alias("c"), F.col("shared").alias("uniques"))
-    stats = column_stats(keys).join(own, ["t", "c"])
-    a = stats.select(*[F.col(x).alias(f"a_{x}") for x in ("t", "c", "n", "uniques", "nulls")], "kind")
-    b = stats.select(*[F.col(x).alias(f"b_{x}") for x in ("t", "c", "n", "uniques", "nulls")], "kind")
-    met = shared.select(F.col("a.t").alias("a_t"), F.col("a.c").alias("a_c"), F.col("b.t").alias("b_t"), F.col("b.c").alias("b_c"), F.col("shared").alias("overlap"))
-    pairs = a.join(b, "kind").where("a_t < b_t")  # a row for each column, not for each key
-    return pairs.join(met, ["a_t", "a_c", "b_t", "b_c"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("long")))
 
+def only_examples(counts: DataFrame, columns: list[tuple[int, int, str]]) -> DataFrame:
+    """(i, j, rank, key): for each pair of columns, either way round, the first EXAMPLES keys, by code point, of column i that j lacks.
 
-def only_examples(keys: DataFrame, a: tuple[int, int], b: tuple[int, int]) -> tuple[list[str], list[str]]:
-    """The first EXAMPLES keys, by code point, of either column that the other lacks."""
-    distinct = keys.where("key IS NOT NULL").select("t", "c", "key").distinct()
-    sides = [distinct.where((F.col("t") == t) & (F.col("c") == c)).select("key") for t, c in (a, b)]
-    return tuple([r.key for r in x.join(y, "key", "left_anti").orderBy("key").limit(EXAMPLES).collect()] for x, y in (sides, sides[::-1]))  # type: ignore[return-value]
+    The rank limit is applied before the exchange too, so a pair sends EXAMPLES keys a task.
+    """
+    pairs = [x for i, j in column_pairs(columns) for x in ((i, j), (j, i))]
+    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs]) if pairs else F.array().cast("array<struct<i:int,j:int>>")
+    lone = F.filter(listed, lambda x: (F.get("n", x["i"]) > 0) & (F.get("n", x["j"]) == 0))
+    rows = counts.where("key IS NOT NULL").select("key", F.explode(lone).alias("x")).select("x.*", "key")
+    rank = F.row_number().over(Window.partitionBy("i", "j").orderBy("key"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= EXAMPLES).select("i", "j", "rank", "key")
 
 
 def suggest(tables: list[Table]) -> Candidates:
     """Scored candidates, best first, and a recommendation."""
-    keys = long_keys(tables).persist()
+    columns = key_columns(tables)
+    counts = key_counts(tables, columns).persist()
+    lone: dict[tuple[int, int], list[str]] = {}
+    for r in only_examples(counts, columns).orderBy("i", "j", "rank").collect():  # EXAMPLES rows for each pair of columns
+        lone.setdefault((r.i, r.j), []).append(r.key)
     out = []
-    for r in overlaps(keys).collect():  # a row for each pair of columns
-        a, b = tables[r.a_t], tables[r.b_t]
+    for r in overlaps(counts, columns).collect():  # a row for each pair of columns
+        (t, p, kind), (u, q, _) = columns[r.i], columns[r.j]
+        a, b = tables[t], tables[u]
         union = r.a_uniques + r.b_uniques - r.overlap
         stats = {
             "a_unique": r.a_uniques,
@@ -99,14 +115,13 @@ def suggest(tables: list[Table]) -> Candidates:
         dups = {"a": r.a_n - r.a_uniques, "b": r.b_n - r.b_uniques}
         unique = 1.0 - (dups["a"] / r.a_n + dups["b"] / r.b_n) / 2.0
         score = round(0.6 * min(stats["overlap_rate_vs_a"], stats["overlap_rate_vs_b"]) + 0.25 * stats["jaccard"] + 0.15 * unique, 4)
-        ends = {"a_file": a.info.file, "a_col": a.info.headers[r.a_c], "a_kind": r.kind, "b_file": b.info.file, "b_col": b.info.headers[r.b_c], "b_kind": r.kind}
-        out.append(ends | {"score": score, "stats": stats, "nulls": {"a": r.a_nulls, "b": r.b_nulls}, "dup_keys": dups, "at": (r.a_t, r.b_t, r.a_c, r.b_c)})
-    out.sort(key=lambda x: (-x["score"], x["a_file"], x["a_col"], x["at"]))
-    for x in out:
-        i, j, p, q = x.pop("at")
-        x["evidence"] = evidence(x, *only_examples(keys, (i, p), (j, q)))
-    keys.unpersist()
-    return Candidates(out, recommend(out))
+        ends = {"a_file": a.info.file, "a_col": a.info.headers[p], "a_kind": kind, "b_file": b.info.file, "b_col": b.info.headers[q], "b_kind": kind}
+        x = ends | {"score": score, "stats": stats, "nulls": {"a": r.a_nulls, "b": r.b_nulls}, "dup_keys": dups}
+        x["evidence"] = evidence(x, lone.get((r.i, r.j), []), lone.get((r.j, r.i), []))
+        out.append((-score, a.info.file, a.info.headers[p], t, u, p, q, x))
+    counts.unpersist()
+    found = [x[-1] for x in sorted(out, key=lambda x: x[:-1])]
+    return Candidates(found, recommend(found))
 
 
 def evidence(x: dict, a_only: list[str], b_only: list[str]) -> str:
@@ -133,9 +148,10 @@ def recommend(candidates: list[dict]) -> dict | None:
 
 
 def ranked(pairs: DataFrame) -> DataFrame:
-    """Scores and ranks of ``overlaps`` rows as columns (ties in the last digit may differ from ``suggest``)."""
+    """Scores and ranks of ``overlaps`` rows as columns; half a unit of the last digit rounds up, however it is stored (``suggest`` rounds what is stored)."""
     ra, rb = (F.bround(F.col("overlap") / F.col(u), 4) for u in ("a_uniques", "b_uniques"))
     jaccard = F.bround(F.col("overlap") / (F.col("a_uniques") + F.col("b_uniques") - F.col("overlap")), 4)
     unique = 1 - ((F.col("a_n") - F.col("a_uniques")) / F.col("a_n") + (F.col("b_n") - F.col("b_uniques")) / F.col("b_n")) / 2
-    scored = pairs.withColumn("score", F.bround(0.6 * F.least(ra, rb) + 0.25 * jaccard + 0.15 * unique, 4))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "a_t", "a_c", "b_t", "b_c")))
+    score = 0.6 * F.least(ra, rb) + 0.25 * jaccard + 0.15 * unique
+    scored = pairs.withColumn("score", F.floor(score * 10000 + 0.5000001) / 10000)
+    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "i", "j")))

@@ -89,13 +89,15 @@ class Merge:
 
     @cached_property
     def merged(self) -> DataFrame:
-        """(key, ord, v0, v1, ...): each source's first row of the key, or null."""
+        """(key, ord, v0, v1, ..., f<i>_<j>): each source's first row of the key, or null, and the normalised cells of logical fields."""
         union = None
         for i in range(len(self.sources)):
             part = self.keyed(i).where("raw <> ''").select("key", F.struct(F.lit(self.rank(i)).alias("rank"), F.col("row")).alias("ord"), F.col("row").alias(f"r{i}"), F.col("v").alias(f"v{i}"))
             union = part if union is None else union.unionByName(part, allowMissingColumns=True)
         firsts = [F.min_by(F.col(f"v{i}"), F.col(f"r{i}")).alias(f"v{i}") for i in range(len(self.sources))]
-        return union.groupBy("key").agg(F.min("ord").alias("ord"), *firsts)
+        rows = union.groupBy("key").agg(F.min("ord").alias("ord"), *firsts)
+        # cells that are compared are normalised once, of first rows only
+        return rows.withColumns({f"f{i}_{j}": self.normal(F.col(f"v{i}.c{j}")) for _, cols in self.groups for i, j, _ in cols})
 
     def persist(self) -> Merge:
         self.merged.persist(StorageLevel.MEMORY_AND_DISK)
@@ -119,13 +121,15 @@ class Merge:
         names = [F.when(~self.present(i), F.lit(f)) for i, f in enumerate(self.files)]
         return F.array_join(F.array_compact(F.array(*names)), "、")
 
+    def normal(self, cell: Column) -> Column:
+        return F.nullif((C.norm_text_exact if self.exact else C.norm_text)(cell), F.lit(""))
+
     def cell(self, i: int, j: int) -> Column:
         return F.col(f"v{i}.c{j}")
 
     def filled(self, i: int, j: int) -> Column:
         """The normalised cell of a first row; null where it is blank or absent."""
-        text = (C.norm_text_exact if self.exact else C.norm_text)(self.cell(i, j))
-        return F.when(text != "", text)
+        return F.col(f"f{i}_{j}")
 
     def conflict(self, cols: list[tuple[int, int, str]]) -> Column:
         return F.size(F.array_distinct(F.array_compact(F.array(*[self.filled(i, j) for i, j, _ in cols])))) > 1

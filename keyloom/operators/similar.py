@@ -1,9 +1,12 @@
 """Most similar keys without comparing all pairs.
 
 A ratio of matching blocks reaches the cutoff only if the keys share enough characters:
-2 * |common characters| >= cutoff * (both lengths). Keys are exploded into (character,
-occurrence) items, pairs that share items are counted by a join and an aggregation, and
-only pairs that pass this bound are compared exactly, so nothing is lost.
+2 * |common characters| >= cutoff * (both lengths). Keys become sets of (character,
+occurrence) items in one global order, rarest first; two keys that share enough items
+share one of the first few of each (prefix filter), near enough to the front that enough
+are left behind it (positional filter), and don't differ too much in length. Such pairs
+are counted exactly in generated code, and only those that pass are compared in Python.
+Nothing is lost.
 """
 
 from __future__ import annotations
@@ -31,21 +34,44 @@ def ratio(candidate: str, key: str) -> Column:
     return F.arrow_udf(ratio_of, "double")(candidate, key)
 
 
-def items(df: DataFrame, key: str) -> DataFrame:
-    """(key, n, item): a row for each character occurrence; an empty key has none."""
-    chars = df.select(F.col(key).alias("key")).distinct().select("key", F.char_length("key").alias("n"), F.posexplode(F.filter(F.split("key", ""), lambda c: c != "")).alias("at", "char"))
-    nth = F.row_number().over(Window.partitionBy("key", "char").orderBy("at"))
-    return chars.select("key", "n", F.concat_ws(":", "char", nth.cast("string")).alias("item"))
+def item_lists(df: DataFrame, key: str) -> DataFrame:
+    """(key, n, items): each distinct key with its character occurrences, ``a:1``, ``a:2`` and so on; an empty key has none."""
+    chars = F.filter(F.split("key", ""), lambda c: c != "")
+    nth = F.transform(chars, lambda c, i: F.concat_ws(":", c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c))))
+    return df.select(F.col(key).alias("key")).distinct().select("key", F.char_length("key").alias("n"), nth.alias("items"))
+
+
+def ordered(lists: DataFrame, counts: DataFrame) -> DataFrame:
+    """Items of each key, rarest first. ``counts`` (item_, times) has a row for each character occurrence there is, not for each key."""
+    met = lists.select("key", "n", F.explode("items").alias("item")).join(counts, F.col("item") == F.col("item_"))
+    return met.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("times", "item"))).alias("l")).select("key", "n", F.transform("l", lambda x: x["item"]).alias("items"))
 
 
 def shared_characters(keys: DataFrame, pool: DataFrame, key: str = "key", cutoff: float = 0.5) -> DataFrame:
     """(key, candidate, common): pairs whose characters allow the cutoff; a key isn't its own candidate."""
-    a = items(keys, key)
-    b = items(pool, key).select(F.col("key").alias("candidate"), F.col("n").alias("m"), "item")
-    longest = 2 / cutoff - 1  # beyond this ratio of lengths the bound can't be met
+    left, right = item_lists(keys, key), item_lists(pool, key)
+    both = left.unionByName(right).select(F.explode("items").alias("item_"))
+    counts = both.groupBy("item_").agg(F.count("*").alias("times"))
+    share = cutoff / 2
+    longest = 1 / share - 1  # beyond this ratio of lengths the bound can't be met
+
+    def need(n: Column, m: Column) -> Column:
+        return F.ceil(share * (n + m) - 1e-9)
+
+    def firsts(lists: DataFrame) -> DataFrame:
+        # the shortest partner asks for the fewest common items
+        least = need(F.col("n"), F.ceil(F.col("n") / longest - 1e-9))
+        prefix = F.slice("items", F.lit(1), F.greatest(F.lit(1), F.col("n") - least + 1).cast("int"))
+        return ordered(lists, counts).select("key", "n", "items", F.posexplode(prefix).alias("p", "item"))
+
+    a, b = firsts(left), firsts(right).select(F.col("key").alias("candidate"), F.col("n").alias("m"), F.col("items").alias("others"), F.col("p").alias("q"), "item")
     pairs = a.join(b, "item").where((F.col("key") != F.col("candidate")) & (F.greatest("n", "m") <= longest * F.least("n", "m")))
-    pairs = pairs.groupBy("key", "candidate", "n", "m").agg(F.count("*").alias("common"))
-    return pairs.where(2 * F.col("common") >= cutoff * (F.col("n") + F.col("m"))).select("key", "candidate", "common")
+    least = need(F.col("n"), F.col("m"))
+    pairs = pairs.where(F.least("p", "q") + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= least)
+    # only the pair's first shared item gives a row, so there is no need to make pairs distinct
+    shared = F.array_intersect("items", "others")
+    pairs = pairs.where(F.get(shared, F.lit(0)) == F.col("item")).withColumn("common", F.size(shared).cast("long"))
+    return pairs.where(F.col("common") >= least).select("key", "candidate", "common")
 
 
 def closest(keys: DataFrame, pool: DataFrame, key: str = "key", n: int = 3, cutoff: float = 0.5) -> DataFrame:

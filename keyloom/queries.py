@@ -6,10 +6,11 @@ many rows a key) and ``events`` (plain ids, few keys) are the sources of one mer
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
+from . import queries_files
 from .operators import keys, shape, similar
 from .operators.merge import Merge, Source
 from .plans.run import log_rows
@@ -108,6 +109,19 @@ def merge_full_outer(spark, sf):
     return merged(spark, sf).result(ordered=False)
 
 
+@query(base(WIDE))
+def merge_full_outer_exact(spark, sf):
+    """By the exact text rules, as the command line merges."""
+    return Merge(sources(spark, sf)).result(ordered=False)
+
+
+@query(base(WIDE).replace(f"lower(regexp_replace('EMP-' || c_custkey, '{PREFIX}', '', 'i')) AS key", "'EMP-' || c_custkey AS key"))
+def merge_mixed_kinds(spark, sf):
+    """One source's key is a name, so its prefix and case stay."""
+    c, o, e = sources(spark, sf)
+    return Merge([Source(c.table, c.key_col, kind="name"), o, e], exact=False).result(ordered=False)
+
+
 @query(base('SELECT key AS "关联键", status AS "数据状态" FROM t'))
 def merge_status(spark, sf):
     return merged(spark, sf).result(ordered=False).select("关联键", "数据状态")
@@ -153,6 +167,12 @@ def merge_unmatched(spark, sf):
     return merged(spark, sf).unmatched(similar=False, ordered=False).drop("最相近候选")
 
 
+@query()
+def merge_unmatched_closest(spark, sf):
+    """With each record's closest candidates among all keys of the merge."""
+    return merged(spark, sf).unmatched(ordered=False)
+
+
 @query(base("""SELECT 'customer' AS file, (SELECT count(*) FROM c1) AS matched, (SELECT count(*) FROM customer) AS n_rows
       UNION ALL SELECT 'orders', (SELECT count(*) FROM o1), (SELECT count(*) FROM orders)
       UNION ALL SELECT 'events', (SELECT count(*) FROM e1), (SELECT count(*) FROM events)"""))
@@ -239,23 +259,17 @@ def overlap_sql(columns: list[tuple[str, str]], kind: str) -> str:
 
 def overlap_query(spark, sf, columns):
     tables = key_tables(spark, sf, columns)
-    names = {(t, c): f"{x.info.file}.{h}" for t, x in enumerate(tables) for c, h in enumerate(x.info.headers)}
-    pairs = keys.overlaps(keys.long_keys(tables, exact=False))
-
-    def named(t, c):
-        out = F.lit(None).cast("string")
-        for (i, j), n in names.items():
-            out = F.when((F.col(t) == i) & (F.col(c) == j), n).otherwise(out)
-        return out
-
-    return pairs.withColumn("a", named("a_t", "a_c")).withColumn("b", named("b_t", "b_c"))
+    found = keys.key_columns(tables)
+    pairs = keys.overlaps(keys.key_counts(tables, found, exact=False), found)
+    names = F.array(*[F.lit(f"{tables[t].info.file}.{tables[t].info.headers[c]}") for t, c, _ in found])
+    return pairs.withColumn("a", F.get(names, F.col("i"))).withColumn("b", F.get(names, F.col("j")))
 
 
 FROM_PAIRS = " FROM st a JOIN st b ON a.t < b.t LEFT JOIN ov ON ov.x = a.col AND ov.y = b.col"
 
 
-def overlap_counts(pairs: DataFrame) -> DataFrame:
-    return pairs.select("a", "b", F.col("a_uniques").alias("a_unique"), F.col("b_uniques").alias("b_unique"), (F.col("a_n") - F.col("a_uniques")).alias("a_dup"), (F.col("b_n") - F.col("b_uniques")).alias("b_dup"), "overlap")
+def overlap_counts(pairs: DataFrame, *more: Column) -> DataFrame:
+    return pairs.select("a", "b", F.col("a_uniques").alias("a_unique"), F.col("b_uniques").alias("b_unique"), (F.col("a_n") - F.col("a_uniques")).alias("a_dup"), (F.col("b_n") - F.col("b_uniques")).alias("b_dup"), "overlap", *more)
 
 
 @query(overlap_sql(ID_COLUMNS, "id") + FROM_PAIRS)
@@ -276,12 +290,14 @@ def key_candidates_stats(spark, sf):
     p = overlap_query(spark, sf, ID_COLUMNS)
     rate = lambda d: F.bround(F.col("overlap") / d, 4)
     a, b = F.col("a_uniques"), F.col("b_uniques")
-    counts = overlap_counts(p.withColumn("ra", rate(a)).withColumn("rb", rate(b)).withColumn("j", rate(a + b - F.col("overlap"))))
-    rates = p.select(F.col("a").alias("x"), F.col("b").alias("y"), rate(a).alias("rate_a"), rate(b).alias("rate_b"), rate(a + b - F.col("overlap")).alias("jaccard"))
-    return counts.join(rates, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).drop("x", "y")
+    return overlap_counts(p, rate(a).alias("rate_a"), rate(b).alias("rate_b"), rate(a + b - F.col("overlap")).alias("jaccard"))
 
 
-@query()
+@query(f"""WITH p AS ({overlap_sql(ID_COLUMNS, "id")}, a.n AS a_n, b.n AS b_n, a.col AS i, b.col AS j {FROM_PAIRS}),
+      r AS (SELECT *, round_even(overlap / a_unique, 4) AS ra, round_even(overlap / b_unique, 4) AS rb, round_even(overlap / (a_unique + b_unique - overlap), 4) AS jaccard,
+                   1 - (a_dup / a_n + b_dup / b_n) / 2 AS uniq FROM p),
+      s AS (SELECT *, floor((CAST(0.6 AS DOUBLE) * least(ra, rb) + CAST(0.25 AS DOUBLE) * jaccard + CAST(0.15 AS DOUBLE) * uniq) * CAST(10000 AS DOUBLE) + CAST(0.5000001 AS DOUBLE)) / CAST(10000 AS DOUBLE) AS score FROM r)
+      SELECT a, b, overlap, score, CAST(row_number() OVER (ORDER BY score DESC, i, j) AS INTEGER) AS rank FROM s""")
 def key_candidates_ranked(spark, sf):
     return keys.ranked(overlap_query(spark, sf, ID_COLUMNS)).select("a", "b", "overlap", "score", "rank")
 
@@ -292,9 +308,9 @@ def key_candidates_ranked(spark, sf):
         SELECT CAST(user_id AS VARCHAR) AS key FROM events EXCEPT SELECT CAST(c_custkey AS VARCHAR) FROM customer ORDER BY key LIMIT 5)""")
 def key_only_examples(spark, sf):
     tables = [from_table(load(spark, sf, t).select(F.col(c).alias("id"), F.lit(0).alias("o")), t, "o", ["id"]) for t, c in (("customer", "c_custkey"), ("events", "user_id"))]
-    found = keys.only_examples(keys.long_keys(tables, exact=False), (0, 0), (1, 0))
-    rows = [(t.info.file, i, k) for t, only in zip(tables, found) for i, k in enumerate(only, 1)]
-    return spark.createDataFrame(rows, "side string, rank int, key string")
+    columns = keys.key_columns(tables)
+    found = keys.only_examples(keys.key_counts(tables, columns, exact=False), columns)
+    return found.select(F.when(F.col("i") == 0, "customer").otherwise("events").alias("side"), "rank", "key")
 
 
 # ---- headers and scalars
@@ -350,6 +366,8 @@ scalar("norm_key_id", AS_ID, lambda c: C.norm_key(c, "id"))
 scalar("norm_key_name", BARE, lambda c: C.norm_key(c, "name"))
 scalar("norm_key_auto", f"CASE WHEN regexp_matches({BARE}, '^[A-Za-z0-9][A-Za-z0-9\\-_]*$') THEN {AS_ID} ELSE {BARE} END", lambda c: C.norm_key(c, "auto"))
 scalar("norm_key_id_exact", AS_ID, lambda c: C.norm_key_exact(c, "id"))
+FOLDED = f"replace({AS_ID.replace('raw', "('Straße' || raw)")}, 'ß', 'ss')"
+scalar("norm_key_casefold", FOLDED, lambda c: C.norm_key_exact(F.concat(F.lit("Straße"), c), "id"))
 scalar("norm_text_fullwidth", f"regexp_replace({HALVED}, '^[\\s　]+|[\\s　]+$', '', 'g')", C.norm_text)
 scalar("norm_text_exact", f"regexp_replace({HALVED}, '^[\\s　]+|[\\s　]+$', '', 'g')", C.norm_text_exact)
 scalar("squeeze_ws", SQUEEZED, C.squeeze)
@@ -486,3 +504,7 @@ def inspect_profile(spark, sf):
         part = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("file"), "n_rows", F.lit(len(df.columns)).alias("n_cols")).crossJoin(heads)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+QUERIES |= queries_files.QUERIES
+ORACLES |= queries_files.ORACLES

@@ -6,7 +6,7 @@ import pytest
 from keyloom.errors import MergeInputError
 from keyloom.plans.run import read_all
 from keyloom.sources.datasource import register
-from keyloom.sources.grids import read_grid, sniff
+from keyloom.sources.grids import html_table, read_grid, sniff
 from keyloom.sources.reader import ROW, read_csv, read_table
 
 HTML = "<html><table><tr><th colspan=2>姓名信息</th><th>部门</th></tr><tr><td>&nbsp;李四&nbsp;</td><td>x<br>y</td><td>设计部</td></tr><tr><td>张三<td>z<td>产品部<script>var a='<table><tr><td>no</td></tr></table>'</script></table><table><tr><td>2nd</td></tr></table>"
@@ -64,6 +64,30 @@ def test_nested_and_unclosed_tables():
     assert rows == [["a", "c"], ["d"]] or rows == [["ab", "c"], ["d"]]
 
 
+@pytest.mark.parametrize(
+    "page,rows",
+    [
+        ("<p>x</p><table><td>no row<tr><td>a<th>b</tr><td>after</table>", [["a", "b"]]),
+        ("<table><tr></tr><tr><td></td></tr><tr><td colspan=99>w</td><td colspan=x>v</table>", [[""], ["w", *[""] * 63, "v"]]),
+        ("<table><tr><td>a</td>loose<td>b</table></table><table><tr><td>2nd</table>", [["a", "b"]]),
+        ("</table><table><tr><td>a<style>p{}</style>&amp;<br>b", [["a&b"]]),
+        ("<table></table><table><tr><td>2nd</table>", []),
+    ],
+)
+def test_odd_html(page, rows):
+    assert html_table("a.xls", page.encode())[0] == rows
+
+
+def test_rows_are_never_cut():
+    row = '<table:table-row table:number-rows-repeated="{}"><table:table-cell><text:p>{}</text:p></table:table-cell></table:table-row>'
+    head, tail = ODS[: ODS.index("<table:table-row")], "</table:table></office:spreadsheet></office:body></office:document-content>"
+    many = head + row.format(150_000, "a") + row.format(100_500, "b") + row.format(1, "c") + tail
+    rows, _ = read_grid("a.ods", boxed(**{"content.xml": many}))
+    assert (len(rows), rows[149_999], rows[150_000], rows[-1]) == (250_501, ["a"], ["b"], ["c"])
+    with pytest.raises(MergeInputError, match="拒绝读取"):
+        read_grid("a.ods", boxed(**{"content.xml": head + row.format(1 << 21, "a") + tail}))
+
+
 def test_spreadsheetml():
     assert read_grid("a.xls", SML.encode())[0] == [["姓名", "", "工号"], ["张三", "", "1001"]]
 
