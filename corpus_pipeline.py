@@ -1,4 +1,14 @@
-"""The corpus pipeline: raw documents to a mixed, tokenised training set."""
+"""The corpus pipeline: raw documents to a mixed, tokenised training set.
+
+Every stage takes and (but for the last) returns whole rows with all columns of its input,
+whatever their names, and works on all rows it is given. Defined results, stage by stage:
+a null or empty text isn't toxic, is a copy of nothing, holds no benchmark item, has no
+words to mix and is one end id as tokens; a null id stands for no document, so such rows
+go only as copies by their text; rows that repeat an id, or id and text, are graded, kept
+or dropped, mixed and written row by row, but that near-duplicate dropping keeps repeated
+rows of a class's first text together; an empty table stays empty. The operators'
+docstrings say more.
+"""
 
 from __future__ import annotations
 
