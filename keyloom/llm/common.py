@@ -54,9 +54,13 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the folders of ``staged`` tables that nothing reads any more."""
     for df in frames:
-        session = df.sparkSession
-        path = session._jvm.org.apache.hadoop.fs.Path(df._staged)
-        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df._staged)
