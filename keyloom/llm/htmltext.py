@@ -3,10 +3,16 @@
 Each text block of a page has a root-to-leaf tag path. For each path the text length and
 the punctuation of its blocks are summed and divided by their number; the two ratios are
 smoothed along the page with a Gaussian, fused by their product, averaged back over the
-path, and paths at or above a share of the page's spread are content. The element that
-holds most of the content blocks' text is the article; its headings and blocks are the
-text. Elements that name themselves as something else (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments) take no part.
+path, and paths at or above a share of the page's spread are content. The elements that
+hold content blocks are the article. Elements that name themselves as something else
+(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments)
+take no part.
+
+In elements that are named ``article`` or ``main`` the page itself says what the article
+is: blocks stay there unless their path falls short and most of their text is links.
+Elsewhere the ratios decide: a block stays if its path is content, or if it stands between
+content blocks and most of it isn't links (items, captions); a heading stays if content
+follows it before the next heading of its kind.
 
 Defined results: a null or empty page gives an empty text; a page without markup is one
 block; unclosed and stray tags, unknown references and truncated pages are read as far
@@ -27,14 +33,14 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|math|select|textarea|title|object|canvas)\b(?>[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|iframe|svg|select|textarea|title|object|canvas)\b(?>[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?>[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(/?)([a-zA-Z][\w:-]*)([^<>]*)>"
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mspace mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle semantics annotation".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an opening tag of the same group closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -47,8 +53,14 @@ OTHER_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adbox|adsense|sponsor(?:ed|s)?|promos?|promotion|banners?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommended|recommendations|sidebar|aside|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|topbar|comments?|commentlist|disqus|replies|respond|search|pagination|pager|toolbar|copyright|disclaimer|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Names of an article's own headings, which hold words of the above.
+OWN_NAMES = re.compile(r"(?:^|(?<=\s))(?:post|entry|article|story|content|section|chapter|page)[_-]+(?:header|heading|title)(?=$|\s)", re.I)
 ATTRIBUTE = re.compile(r"([\w:-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
+#: The share of the spread that makes a path content, where the page names its article and where it doesn't.
+NAMED_SHARE, SHARE = 0.5, 0.75
+#: Blocks before the text in which its title is looked for.
+LEAD = 3
 #: Smoothing reaches this many blocks to each side, with this spread.
 REACH, SPREAD = 2, 1.0
 KERNEL = [exp(-((d / SPREAD) ** 2) / 2) for d in range(-REACH, REACH + 1)]
@@ -69,7 +81,7 @@ def other(tag: str, attrs: str, in_article: bool) -> bool:
         return False
     for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and OTHER_NAMES.search(value) or name == "role" and value.lower() in OTHER_ROLES:
+        if name in ("class", "id") and OTHER_NAMES.search(OWN_NAMES.sub("", value)) or name == "role" and value.lower() in OTHER_ROLES:
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -156,7 +168,7 @@ def smoothed(values: list[float]) -> list[float]:
     return out
 
 
-def content_paths(blocks: list[Block], share: float = 0.5) -> set[str]:
+def content_paths(blocks: list[Block], share: float) -> set[str]:
     """Paths whose fused ratio reaches ``share`` of the spread over the page's blocks."""
     length: dict[str, float] = {}
     marks: dict[str, float] = {}
@@ -203,25 +215,39 @@ def main_text(page: str | None) -> str:
     blocks, tags = blocks_of(page)
     if not blocks:
         return ""
-    paths = content_paths(blocks)
-    held: dict[int, int] = {}
-    for b in blocks:
-        if b.path in paths and not b.heading:
-            for node in b.nodes:
-                held[node] = held.get(node, 0) + len(b.text)
-    if not held:
-        for b in blocks:
-            for node in b.nodes:
-                held[node] = held.get(node, 0) + len(b.text)
+    named = {n for n, tag in tags.items() if tag in ("article", "main")}
+    paths = content_paths(blocks, NAMED_SHARE if named else SHARE)
     content = [b for b in blocks if b.path in paths and not b.heading] or blocks
-    named = {n for n in held if tags.get(n) in ("article", "main")}
-    roots = named_roots(named, content) if named else branches(content, tags)
-    lines = []
-    for b in blocks:
-        inside = not roots or not roots.isdisjoint(b.nodes)
-        if inside and (b.path in paths or b.heading or b.linked <= 0.5 * len(b.text)):
-            lines.append(b.text)
-    return "\n".join(lines)
+    roots = named_roots(named, content) or named_roots(named, blocks) if named else branches(content, tags)
+    inside = [not roots or not roots.isdisjoint(b.nodes) for b in blocks]
+    if roots and named:
+        return "\n".join(b.text for b, x in zip(blocks, inside) if x and (b.path in paths or b.heading or b.linked <= 0.5 * len(b.text)))
+    # the title may stand just before the element that holds the text
+    first = inside.index(True)
+    lead = range(max(0, first - LEAD), first)
+    return "\n".join(b.text for b in chosen([b for i, (b, x) in enumerate(zip(blocks, inside)) if x or b.heading and i in lead], paths))
+
+
+def chosen(blocks: list[Block], paths: set[str]) -> list[Block]:
+    """Content blocks, what stands between them but for links, and headings that content follows."""
+    content = [i for i, b in enumerate(blocks) if b.path in paths and not b.heading]
+    if not content:
+        return [b for b in blocks if b.path in paths or b.heading or b.linked <= 0.5 * len(b.text)]
+    first, last = content[0], content[-1]
+    out, ahead = [], set()  # paths of headings since the last content block, from the end on
+    followed = False
+    for i in range(len(blocks) - 1, -1, -1):
+        b = blocks[i]
+        if b.heading:
+            if followed and b.path not in ahead:
+                out.append(b)
+                ahead.add(b.path)
+            continue
+        if b.path in paths or first < i < last and b.linked <= 0.5 * len(b.text):
+            out.append(b)
+            followed = True
+            ahead.clear()
+    return out[::-1]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
