@@ -9,12 +9,15 @@ Labels are 0 or 1. Grades above 1 come from the same labelled rows: a first fit
 threshold finds the words that speak for the label, and labelled-toxic rows are graded
 1, 2 or 3 by how many places of the text those words take (terciles). The fit sees at
 most ``max_fit_rows`` labelled rows (the smallest seeded hashes), and of each the
-distinct features of the whole text.
+distinct features of the whole text; the bound holds for what the driver is sent, too.
 
 Defined results: a null or empty text has no features and gets the grade of the
-intercepts; a null label is no label; repeated rows give repeated results; with no
-toxic label at all nothing is rejected; an empty table gives an empty one; other columns
-are not read by ``grade``.
+intercepts; texts of any length are read whole; a null label is no label, and of labels
+that tie the greatest counts; of different texts under one labelled id the fit sees the
+smallest; repeated rows give repeated results; with no toxic label at all, or none but
+toxic ones, there is nothing to tell them by and nothing is rejected; an empty table
+gives an empty one; other columns are not read by ``grade`` and are kept by
+``drop_toxic``, whatever their names.
 """
 
 from __future__ import annotations
@@ -161,6 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
     marked = marked.orderBy(order, "id").limit(max_fit_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marked, "id")
+    # a row for each labelled id, however often documents repeat it
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
@@ -169,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], ["id", "label", "f", "n"])
 
     got = texts.select("id", "text", "label").mapInArrow(sparse, "id long, label int, f array<int>, n array<int>").toArrow()
-    order = np.argsort(got["id"].to_numpy(), kind="stable")[:max_fit_rows]
+    order = np.argsort(got["id"].to_numpy(), kind="stable")
     f, n, y = got["f"].combine_chunks(), got["n"].combine_chunks(), got["label"].to_numpy()
     at, f, n = f.offsets.to_numpy(), f.values.to_numpy(), n.values.to_numpy()
     rows, counts, toxic = [f[at[i] : at[i + 1]] for i in order], [n[at[i] : at[i + 1]] for i in order], (y[order] > 0).astype(int)
