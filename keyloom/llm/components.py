@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,11 +18,13 @@ def components(edges: DataFrame) -> DataFrame:
     both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.min("root").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("n")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
+        near = both.join(labels.select("node", "root"), F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.min("root").alias("near"))
+        step = labels.select("node", "root").join(near, F.col("node") == F.col("n")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("n"), F.col("root").alias("far"))
         step = step.join(jump, F.col("mid") == F.col("n")).select("node", "old", F.least("mid", "far").alias("root"))
         step = staged(step, "labels")
+        discard(labels)
         if not step.where("root < old").limit(1).count():
+            discard(both)
             return step.select("node", "root")
-        labels = step.select("node", "root")
+        labels = step

@@ -13,6 +13,7 @@ each key and round, so no group is expanded into all pairs. A group is settled o
 its members are in one class; until then its other members, linked or not, are grouped
 again, for ``rounds`` rounds. What is left goes to an exact prefix-filter join, so every
 pair that shares a band is in one class, verified, or bound to be below the threshold.
+Rows of a crowded key meet one row, its pivot, so the adaptive skew join may split them.
 Sampling finds a pair at the threshold in a band with probability 0.64 and in one of
 twelve with 0.999995; tests measure recall of classes against brute force.
 
@@ -20,8 +21,9 @@ Defined results: a text without words (null, empty, white space) is a class of i
 unless its id has one; texts of fewer than five words are one shingle; repeated rows and
 equal texts share a class; a null id stands for no document: its row gets a class by its
 text (the smallest id of it, or null); different texts under one id are searched and
-classed each for itself, and of near copies under one id one is kept; an empty table gives an empty one; other columns
-are not read.
+classed each for itself, and of near copies under one id one is kept; texts of any length
+are read whole; an empty table gives an empty one; other columns are not read, and are
+kept by ``keep_first``, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import mix
-from .common import staged
+from .common import discard, free_names, staged
 from .components import components
 
 WORD = re.compile(r"[^\W_]+")
@@ -141,21 +143,26 @@ class Sampler:
 
 
 def packed(h: np.ndarray, w: np.ndarray) -> bytes:
-    """A weighted set in four bytes a shingle: 24 bits of hash, 8 of weight; heavier ones take more entries."""
-    top = (h >> U(40)).astype(np.int64)
-    while (w > 255).any():
-        over = w > 255
-        h, w, top = np.append(h, mix(h[over] + U(1))), np.append(np.minimum(w, 255), w[over] - 255), np.append(top, (mix(h[over] + U(1)) >> U(40)).astype(np.int64))
-    return np.sort((top << 8 | w).astype("<u4")).tobytes()
+    """A weighted set in eight bytes a shingle: 48 bits of hash, 16 of weight; heavier ones take more entries."""
+    top = h >> U(16)
+    while (w > 65535).any():
+        over = w > 65535
+        again = mix(h[over] + U(1))
+        h, top, w = np.append(h, again), np.append(top, again >> U(16)), np.append(np.minimum(w, 65535), w[over] - 65535)
+    return np.sort(top << U(16) | w.astype(U)).astype("<u8").tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, ascending, and their weights."""
+    both = np.frombuffer(data, "<u8")
+    return (both >> U(16)).astype(np.int64), (both & U(65535)).astype(np.int64)
 
 
 def jaccard(a: bytes, b: bytes) -> float:
     """Weighted Jaccard similarity of two packed sets."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.concatenate([x, y])
-    keys, at = np.unique(both >> 8, return_inverse=True)
-    wx = np.bincount(at[: len(x)], x & 255, len(keys))
-    wy = np.bincount(at[len(x) :], y & 255, len(keys))
+    (x, wx), (y, wy) = unpacked(a), unpacked(b)
+    keys, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    wx, wy = np.bincount(at[: len(x)], wx, len(keys)), np.bincount(at[len(x) :], wy, len(keys))
     most = np.maximum(wx, wy).sum()
     return float(np.minimum(wx, wy).sum() / most) if most else 0.0
 
@@ -265,7 +272,7 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float) -> DataFram
         total = np.zeros(PLACES, np.int64)
         for batch in batches:
             for packed_ in batch.column(0).to_pylist():
-                total[np.unique((np.frombuffer(packed_, "<u4") >> 8) % PLACES)] += 1
+                total[np.unique(unpacked(packed_)[0] % PLACES)] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["b", "n"])
 
@@ -278,15 +285,15 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float) -> DataFram
         for batch in batches:
             lists = []
             for packed_ in batch.column(2).to_pylist():
-                both = np.frombuffer(packed_, "<u4")
-                e, at = np.unique(both >> 8, return_inverse=True)
-                w = np.bincount(at, both & 255)
+                e, w = unpacked(packed_)
+                e, at = np.unique(e, return_inverse=True)
+                w = np.bincount(at, w)
                 order = np.lexsort((e, shared.value[e % PLACES]))
                 rest = np.cumsum(w[order][::-1])[::-1]
-                lists.append(e[order][rest >= threshold * w.sum() - 1e-6].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["node", "root", "firsts"])
+                lists.append(e[order][rest >= threshold * w.sum() - 1e-6])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64()))], ["node", "root", "firsts"])
 
-    firsts = wanted.mapInArrow(prefix, "node long, root long, firsts array<int>").select("node", "root", F.explode("firsts").alias("e"))
+    firsts = wanted.mapInArrow(prefix, "node long, root long, firsts array<long>").select("node", "root", F.explode("firsts").alias("e"))
     lists = staged(firsts.groupBy("e", "root").agg(F.collect_list("node").alias("held")), "firsts")
     several = lists.groupBy("e").agg(F.count("*").alias("n")).where("n > 1").select(F.col("e").alias("e_"))
     lists = lists.join(several, F.col("e") == F.col("e_")).select("e", "root", "held")
@@ -311,7 +318,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     single = members.select("node", F.explode(F.array_distinct(F.slice("keys", 1, bands))).alias("k"))
     shared = single.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("key_"))
     crowded = single.join(shared, F.col("k") == F.col("key_")).select("node").distinct().withColumnRenamed("node", "n")
-    members = staged(members.join(crowded, F.col("node") == F.col("n"), "left_semi"), "crowded")
+    every, members = members, staged(members.join(crowded, F.col("node") == F.col("n"), "left_semi"), "crowded")
+    discard(every)
     keyed = members.select("node", F.explode(F.array_distinct("keys")).alias("k"))
     crowd = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("key_"))
     left = staged(keyed.join(crowd, F.col("k") == F.col("key_")).select("k", "node", F.col("node").alias("root")), "left")
@@ -366,5 +374,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """One document of each class, with its own columns: the one with the smallest id."""
     found = classes(docs, id_col, text_col, **params)
-    gone = found.where((F.col(id_col) != F.col("class_id")) | ~F.col("head")).select(F.col(id_col).alias("__id"), F.col("key").alias("__key")).distinct()
-    return docs.join(gone, (F.col(id_col) == F.col("__id")) & (text_key(F.col(text_col)) == F.col("__key")), "left_anti")
+    own = free_names(docs, "id", "key")
+    gone = found.where((F.col(id_col) != F.col("class_id")) | ~F.col("head")).select(F.col(id_col).alias(own[0]), F.col("key").alias(own[1])).distinct()
+    return docs.join(gone, (F.col(id_col) == F.col(own[0])) & (text_key(F.col(text_col)) == F.col(own[1])), "left_anti")

@@ -9,6 +9,7 @@ import corpus_pipeline
 import numpy as np
 from keyloom.llm import neardup, queries
 from keyloom.llm.components import components
+from pyspark.sql import functions as F
 
 from .test_text_scans import brute_leaks
 from .util import ODD, SF, docs
@@ -133,7 +134,9 @@ def test_tied_ids(spark):
     found = {(r.doc_id, r.key): r.class_id for r in neardup.classes(docs(spark, rows)).collect()}
     key = lambda t: md5(t.encode()).hexdigest()
     assert found == {(i, key(t)): c for (i, t), c in zip(rows, [3, 3, 5, 6, 6, 5])}
-    kept = {(r.doc_id, r.text) for r in neardup.keep_first(docs(spark, rows)).collect()}
+    odd = docs(spark, rows).withColumns({c: F.lit(1) for c in ("__id", "__key", "class_id", "node", "keys")})
+    assert neardup.keep_first(odd).columns == odd.columns
+    kept = {(r.doc_id, r.text) for r in neardup.keep_first(odd).collect()}
     assert kept in ({(3, near(x)), (5, y), r} for r in rows[3:5])
 
 
