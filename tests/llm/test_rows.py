@@ -88,6 +88,17 @@ def test_quality(spark):
     assert sum(by[200 + i].kept or by[200 + i].base_failed for i in range(3)) >= 0 and not any(by[200 + i].kept and by[200 + i].n_removed_lines for i in range(3))
     assert all(by[300 + i].n_removed_lines == 0 for i in range(30))  # copies are one text
     assert quality.quality(docs(spark, [])).count() == 0
+    frame = docs(spark, rows).withColumns({c: F.lit(1) for c in ("__host", "__key", "__own", "line", "lines")})
+    stripped = quality.strip_lines(frame)
+    assert stripped.columns == frame.columns and stripped.count() == len(rows)
+    left = {(x.doc_id, x.text) for x in stripped.collect()}
+    assert sum((100 + i, unique(i)) in left for i in range(15)) + sum((200 + i, f"\na{i}") in left for i in range(3)) == 17
+    assert {(r[0], r[1]) for r in rows if r[0] is None or r[0] < 100 or r[0] >= 300} <= left
+    assert quality.strip_lines(docs(spark, [])).count() == 0
+    by_id = {x.doc_id: x for x in quality.quality(docs(spark, rows), distinct="ids").collect()}
+    assert by_id[301].n_removed_lines == 0 and by_id[401].n_removed_lines == 0
+    other = docs(spark, rows + [(500 + i, line + f"\n{unique(i)}", "g") for i in range(2)])
+    assert [sum(x.n_removed_lines > 0 for x in quality.quality(other, distinct=d).collect() if (x.doc_id or 0) >= 500) for d in ("texts", "ids")] == [0, 2]
 
 
 def test_warc_round_trip(spark):
@@ -111,7 +122,7 @@ def test_warc_round_trip(spark):
         assert (x.record_type, x.refers_to) == (("revisit", first[h]) if again else ("response", None)), x
         seen[h] += 1
     folder = Path(out.removeprefix("file://"))
-    assert not list((folder / "_temporary-warc").iterdir())
+    assert not (folder / "_temporary-warc").exists()
     listed = manifest.collect()
     for f in listed:
         data = (folder / f.file).read_bytes()
@@ -120,6 +131,19 @@ def test_warc_round_trip(spark):
     again = warc.write_warc(pages.repartition(5), new_dir(spark, "warc"), shard_bytes=400, roll_bytes=300).collect()
     assert sorted(again) == sorted(listed)
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
+    heads = {h["x-page-id"] + h["warc-type"]: h for f in listed for h, _ in warc.parse((folder / f.file).open("rb"))}
+    assert heads["3revisit"]["warc-refers-to"] == heads["1response"]["warc-record-id"] and heads["3revisit"]["warc-refers-to-target-uri"] == heads["1response"]["warc-target-uri"] == "http://b X: y"
+
+
+def test_warc_shards(spark):
+    """Outlying ids and gaps don't decide on a shard's size."""
+    ids = [-(10**18), *range(500), 10**12, 10**18]
+    rows = spark.createDataFrame([(i, 400) for i in ids] + [(None, 1)], "id long, n_bytes long")
+    bounds = warc.shard_bounds(rows, 20_000)
+    held = Counter(sum(b <= i for b in bounds) for i in ids)
+    assert bounds == sorted(bounds) and 25 <= len(bounds) <= 60 and max(held.values()) <= 20
+    assert warc.shard_bounds(rows.repartition(7), 20_000) == bounds
+    assert warc.shard_bounds(rows.limit(0), 20_000) == [] and warc.shard_bounds(rows.where("id = 3"), 100) == []
 
 
 PAGES = [
@@ -130,6 +154,7 @@ PAGES = [
     ('<div id="menu"><a href=x>m</a></div><div class="post"><h2>T</h2><p>Hello, world; more text here, okay.<p>Second, para; yes.</div><div class=comments><p>Nice one!</div>', "T\nHello, world; more text here, okay.\nSecond, para; yes."),
     ("<main><p>Real text, long enough.<script>var a='<p>no</p>'</script><style>p{}</style></p><form><p>Sign up</p></form><aside>side</aside></main>", "Real text, long enough."),
     ("<article><p>Cut off, in the mid", "Cut off, in the mid"),
+    ('<div class="post"><div class="post-header"><h1>Title</h1></div><p>Real text, long enough; with x<sup>2</sup> and <math><mi>y</mi><mo>=</mo><mn>2</mn></math>.</p></div>', "Title\nReal text, long enough; with x2 and y=2."),
     ("<!-- <p>no</p> --><body><p>a &lt; b, &#233;t&eacute; &unknown; end.</p></body>", "a < b, été &unknown; end."),
 ]
 
@@ -153,6 +178,52 @@ def test_main_text_of_several_elements():
             assert htmltext.main_text(page) == "\n".join(x + y)
 
 
+def unnamed_page(n=12):
+    """A page whose elements have no telling names."""
+    text = [f"Paragraph {i} goes on with words, and more words; it says so, and it ends here." for i in range(n)]
+    links = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(9))
+    items = ["one item", "another item"]
+    p = "".join(f"<p>{x}</p>" for x in text[: n // 2]) + f"<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul><h2>Part</h2>" + "".join(f"<p>{x}</p>" for x in text[n // 2 :])
+    page = f"<html><body><div><ul>{links}</ul></div><div><h1>Title</h1><span>Today 5 min</span><div>{p}</div><div>Reprint 2020</div><h3>More</h3><ul>{links}</ul></div><div>Imprint</div></body></html>"
+    return page, ["Title", *text[: n // 2], *items, "Part", *text[n // 2 :]]
+
+
+def test_path_ratios_decide(monkeypatch):
+    page, expected = unnamed_page()
+    assert htmltext.main_text(page) == "\n".join(expected)
+    for paths in (lambda blocks, share: set(), lambda blocks, share: {b.path for b in blocks}):
+        monkeypatch.setattr(htmltext, "content_paths", paths)
+        assert htmltext.main_text(page) != "\n".join(expected)
+
+
+def test_main_text_is_brute_force(spark):
+    """The pages' articles by a parser that knows their three tags."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            self.blocks += [""] * (tag in ("p", "h1"))
+            self.blocks[-1] += " " * (tag == "br")
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            self.blocks += [""] * (tag in ("p", "h1"))
+
+        def handle_data(self, data):
+            self.blocks[-1] += data if self.inside else ""
+
+    for x in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").collect():
+        found = Article()
+        found.feed(x.html or "")
+        found.close()
+        assert htmltext.main_text(x.html) == "\n".join(t for b in found.blocks if (t := " ".join(b.split())))
+
+
 def test_main_text_of_pages(spark):
     import re
 
@@ -253,6 +324,33 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.grade(docs(spark, []), toxicity.fit(docs(spark, []), labels.limit(0))).count() == 0
 
 
+def test_labels_of_one_kind_and_repeated_ids(spark):
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(i, words("bad" if i % 2 else "good", 12) + f" own{i}", "s") for i in range(600)] + [(1, "zzz " * 9, "s")] * 500
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    got = toxicity.grade(docs(spark, rows), toxicity.fit(docs(spark, rows), labels)).collect()
+    assert {x.rejected for x in got if x.doc_id % 2 and x.doc_id != 1} == {True} and not any(x.rejected for x in got if x.doc_id % 2 == 0)
+    for one in ("toxic = 0", "toxic = 1"):
+        model = toxicity.fit(docs(spark, rows), labels.where(one))
+        assert not any(x.rejected for x in toxicity.grade(docs(spark, rows), model).collect())
+
+
+def test_ordinal_fit_is_brute_force():
+    """The optimum of the same loss by plain gradient steps on dense numbers."""
+    r = np.random.default_rng(3)
+    x = (r.random((80, 6)) < 0.4).astype(float)
+    score = x @ np.array([2.0, -1.5, 1.0, 0, 0, 0.5]) + r.logistic(size=80)
+    target = (score[:, None] > np.array([-0.5, 0.8, 2.0])[None, :]).astype(float)
+    row, column = (v.astype(np.int32) for v in np.nonzero(x))
+    w, thetas = toxicity.descend(row, column, 80, 6, target, 0.0, 0.01, 3000)
+    v, cuts = np.zeros(6), np.array([-1.0, 0.0, 1.0])
+    for _ in range(40_000):
+        error = 1 / (1 + np.exp(cuts[None, :] - (x @ v)[:, None])) - target
+        v -= 0.2 * (x.T @ error.sum(1) / 80 + 0.01 * v)
+        cuts += 0.2 * error.mean(0)
+    assert np.allclose(w, v, atol=1e-3) and np.allclose(thetas, cuts, atol=1e-3)
+
+
 def test_ordinal_thresholds_share_weights():
     r = np.random.default_rng(0)
     rows, grades = [], []
