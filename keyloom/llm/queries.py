@@ -73,9 +73,17 @@ QUERIES = {
 WORDS_SQL = r"regexp_extract_all(lower(coalesce({0}, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+def word_list(words) -> str:
+    return f"[{', '.join(repr(w) for w in sorted(words))}]"
+
+
 def templates_sql() -> str:
-    rows = [f"('{label}', [{', '.join(repr(w) for w in sorted(words))}], {need})" for _, label, words, need in licenses.template_rows(licenses.TEMPLATES, 0.8)]
-    return "(VALUES " + ", ".join(rows) + ") AS t(label, words, need)"
+    rows = [f"('{r.label}', {word_list(r.words)}, {r.need}, {word_list(r.telling)}, {r.need_telling}, {r.width})" for r in licenses.template_rows(licenses.TEMPLATES, 0.8)]
+    return "(VALUES " + ", ".join(rows) + ") AS t(label, words, need, telling, need_telling, width)"
+
+
+def vocabulary_sql() -> str:
+    return word_list(set().union(*(r.words for r in licenses.template_rows(licenses.TEMPLATES, 0.8))))
 
 
 def phrases_sql() -> str:
@@ -124,12 +132,10 @@ ORACLES = {
         p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
         hit AS (SELECT doc_id, i - 1 AS pos, {phrases_sql()} AS label FROM p),
         base AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list(DISTINCT label) AS base FROM hit WHERE label IS NOT NULL GROUP BY doc_id),
-        b AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[	
-
- ]', '' || chr(10), 'g'), chr(10))) AS block FROM d),
-        bw AS (SELECT doc_id, list_distinct({WORDS_SQL.format('block')}) AS held FROM b),
-        m AS (SELECT doc_id, label, len(list_intersect(words, held)) AS shared, len(words) AS n, need FROM bw, {templates_sql()}),
-        more AS (SELECT doc_id, list(DISTINCT label) AS more, max(shared / n) AS score FROM m WHERE shared >= need GROUP BY doc_id)
+        spot AS (SELECT doc_id, i, w[i] AS word, w[i : i + 99] AS ahead FROM p WHERE list_contains({vocabulary_sql()}, w[i])),
+        win AS (SELECT doc_id, label, need, telling, need_telling, len(words) AS n, list_intersect(words, ahead[1 : width]) AS met FROM spot, {templates_sql()} WHERE list_contains(words, word)),
+        m AS (SELECT doc_id, label, len(met) AS shared, n FROM win WHERE len(met) >= need AND len(list_intersect(met, telling)) >= need_telling),
+        more AS (SELECT doc_id, list(DISTINCT label) AS more, max(shared / n) AS score FROM m GROUP BY doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
                coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
                coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ','), '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score

@@ -21,15 +21,12 @@ def brute_scan(text):
     places = sorted((i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
     labels, score = {x[1] for x in places}, 0.0
     base = set(labels)
-    for block in re.split(licenses.BLOCK_ENDS, text or ""):
-        held = set(words(block))
-        for label, texts in licenses.TEMPLATES.items():
-            for t in texts:
-                need = set(words(t))
-                share = len(need & held) / len(need)
-                if share >= 0.8:
-                    labels.add(label)
-                    score = max(score, share)
+    for t in licenses.template_rows(licenses.TEMPLATES, 0.8):
+        for i in range(len(w)):
+            met = t.words & set(w[i : i + t.width])
+            if len(met) >= 0.8 * len(t.words) and len(met & t.telling) >= 0.8 * len(t.telling):
+                labels.add(t.label)
+                score = max(score, len(met) / len(t.words))
     first, last = (places[0][0], places[-1][0]) if places else (None, None)
     return len(w), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), round(score, 9)
 
@@ -42,13 +39,19 @@ PLANTED = [
     (24, "Permission is hereby granted, free of charge, to any person who gets a copy of this software and associated documentation files"),
     (25, "licensed the under apache"),
     (26, "ALLİ rights reserved acc by cc byx"),
+    (27, "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this\n// software and associated documentation files (the Software)"),
+    (28, "Licensed under the Apache License,\n# Version 2.0 (the License)"),
+    (29, "This work is licensed under the GNU General Public License, version 3."),
+    (30, "under a long line of words that the mit has of its own and that goes on and on until it is licensed by some other license"),
 ]
+LABELS = {21: "cc-by,cc-by-nc", 22: "mit,reserved", 24: "mit", 27: "mit", 28: "apache", 29: "gpl", 30: ""}
 
 
 def test_scan_is_brute_force(spark):
     rows = ODD + PLANTED
     got = licenses.scan(docs(spark, rows)).collect()
     expected = sorted([(r[0] or -1, *brute_scan(r[1])) for r in rows], key=repr)
+    assert {r.doc_id: r.labels for r in got if r.doc_id in LABELS} == LABELS
     assert sorted([(r[0] or -1, *r[1:7], round(r[7], 9)) for r in got], key=repr) == expected
 
 
@@ -62,6 +65,24 @@ def test_scan_of_nothing(spark):
     empty = docs(spark, [])
     assert licenses.scan(empty).count() == 0
     assert licenses.scan(docs(spark, PLANTED), templates={}).count() == len(PLANTED)
+    assert licenses.scan(docs(spark, PLANTED), phrases={}).count() == len(PLANTED)
+
+
+def test_notices(spark):
+    got = {(r.doc_id, r.label): r for r in licenses.notices(docs(spark, PLANTED)).collect()}
+    assert set(got) == {(21, "cc-by-nc"), (22, "mit"), (24, "mit"), (27, "mit"), (28, "apache"), (29, "gpl")}
+    assert (got[28, "apache"].start, got[28, "apache"].block, got[28, "apache"].score) == (0, "licensed under the apache license version 2 0 the license", 1.0)
+
+
+def test_no_shared_words_make_a_license(spark):
+    """On the tables, a label comes only with its own name."""
+    names = {"apache": "apache", "mit": "mit", "gpl": "general public", "cc-by-nc": "nc", "cc-by-sa": "sa", "mpl": "mozilla"}
+    found = licenses.scan(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")).where("labels <> base_labels").select("doc_id", "labels")
+    rows = found.join(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"), "doc_id").collect()
+    assert len(rows) > 20
+    for r in rows:
+        text = " " + " ".join(words(r.text)) + " "
+        assert all(f" {names[x]} " in text for x in r.labels.split(",") if x in names), (r.doc_id, r.labels)
 
 
 def test_native(spark):
