@@ -1,8 +1,8 @@
-"""Content-defined anchors and window hashes of byte and word sequences, in numpy.
+"""Content-defined anchors and window hashes of byte strings, in numpy.
 
-Every window of ``length`` symbols of a text owns one anchor: the leftmost smallest gram
-hash among its first ``reach`` positions. The anchor's distance from the window's start
-depends on the window's symbols alone, so equal windows have anchors at equal distances.
+Every ``length``-byte window of a text owns one anchor: the leftmost smallest gram hash
+among its first ``reach`` positions. The anchor's distance from the window's start
+depends on the window's bytes alone, so equal windows have anchors at equal distances.
 Consecutive windows with one anchor form a run.
 """
 
@@ -47,46 +47,23 @@ def tables(n: int) -> list[np.ndarray]:
     return [_powers[i] for i in range(4)]
 
 
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (cut at ASCII white space) of all texts, one after another, and the number of words of each."""
-    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)  # each text ends with a space
-    n = len(data)
-    blank = (data == 32) | (data >= 9) & (data <= 13)
-    start = np.flatnonzero(~blank & np.append(True, blank[:-1])[:n])
-    end = np.flatnonzero(blank & np.append(False, ~blank[:-1])[:n])
-    t = tables(n + 1)
-    s = np.zeros(n + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * t[0][:n], out=s[1:])
-    h = mix((s[end] - s[start]) * t[2][start] + (end - start).astype(U) * BASES[1])
-    ends = np.cumsum([len(x) + 1 for x in texts])
-    return h, np.diff(np.searchsorted(start, ends), prepend=0)
-
-
 class Buffer:
-    """Several sequences in one, with running hashes of all of it."""
+    """Several texts in one byte buffer, with running hashes of all of it."""
 
-    def __init__(self, sizes: list[int], grams: np.ndarray, gram: int) -> None:
-        self.sizes = np.array(sizes, np.int64)
+    def __init__(self, texts: list[bytes]) -> None:
+        self.sizes = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        self.grams, self.gram = grams, gram
-        self._sums: list[np.ndarray] = []
-
-    @classmethod
-    def of_bytes(cls, texts: list[bytes]) -> Buffer:
-        n = sum(map(len, texts))
         data = np.frombuffer(b"".join(texts) + bytes(GRAM), np.uint8)
         two = data[:-1] | (data[1:].astype(np.uint16) << np.uint16(8))
         four = two[:-2] | (two[2:].astype(np.uint32) << np.uint32(16))
         eight = four[:-4].astype(U) | (four[4:].astype(U) << U(32))
-        return cls([len(t) for t in texts], mix(eight)[:n], GRAM)
-
-    @classmethod
-    def of_words(cls, texts: list[np.ndarray]) -> Buffer:
-        return cls([len(t) for t in texts], mix(np.concatenate([np.zeros(0, U), *texts])), 1)
+        self.grams = mix(eight)[: int(self.ends[-1]) if len(texts) else 0]
+        self.data = data[: len(self.grams)]
+        self._sums: list[np.ndarray] = []
 
     def hashes(self, lo: np.ndarray, hi: np.ndarray, lane: int) -> np.ndarray:
-        """Of the symbols [lo, hi), a gram at least each, wherever they stand."""
+        """Of the bytes [lo, hi), at least GRAM each, wherever they stand."""
         t = tables(len(self.grams) + 1)
         while len(self._sums) <= lane:
             n = len(self.grams)
@@ -94,10 +71,10 @@ class Buffer:
             np.cumsum(self.grams * t[len(self._sums)][:n], out=s[1:])
             self._sums.append(s)
         s = self._sums[lane]
-        return mix((s[hi - self.gram + 1] - s[lo]) * t[2 + lane][lo] + (hi - lo).astype(U))
+        return mix((s[hi - GRAM + 1] - s[lo]) * t[2 + lane][lo] + (hi - lo).astype(U))
 
-    def runs(self, length: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, first window, last window, anchor) of each run, as buffer positions."""
+    def runs(self, length: int, reach: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first window, last window, anchor) of each run, as buffer positions. Windows begin at the first ``most`` bytes of a text."""
         n = len(self.grams)
         none = np.zeros(0, np.int64)
         starts_ok = self.sizes >= length
@@ -112,12 +89,13 @@ class Buffer:
         anchor = (np.minimum(behind[: n - length + 1], ahead[reach - 1 : reach + n - length]) & ((U(1) << INDEX_BITS) - U(1))).astype(np.int64)
         edge = np.zeros(n + 2, np.int8)
         edge[self.starts[starts_ok]] += 1
-        edge[self.ends[starts_ok] - length + 1] -= 1
+        stops = np.minimum(self.ends - length + 1, self.starts + most)
+        edge[stops[starts_ok]] -= 1
         valid = np.cumsum(edge[: len(anchor)]) > 0
         new = valid.copy()
         new[1:] &= (anchor[1:] != anchor[:-1]) | ~valid[:-1]
         new[self.starts[starts_ok]] = True
         first = np.flatnonzero(new)
         text = np.searchsorted(self.ends, first, side="right")
-        last = np.minimum(np.append(first[1:], n) - 1, self.ends[text] - length)
+        last = np.minimum(np.append(first[1:], n), stops[text]) - 1
         return text, first, last, anchor[first]

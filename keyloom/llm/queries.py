@@ -16,7 +16,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
+    return substrings.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes")
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,12 +125,11 @@ ORACLES = {
                  coalesce(sum(hi - lo + 1), 0) AS n_removed, count(hi) AS n_spans
           FROM cut JOIN d ON d.doc_id = cut.doc_id GROUP BY cut.doc_id
         ),
-        v AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
-        vw AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS i, words FROM v WHERE len(words) >= 50),
-        vm AS (SELECT doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS m FROM vw),
-        vr AS (SELECT doc_id, i FROM vm QUALIFY count(*) OVER (PARTITION BY m) > 1),
-        told AS (SELECT doc_id, sum(least(50, coalesce(next - i, 50))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM vr) GROUP BY doc_id)
-        SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, kept_sha256, CAST(coalesce(told.n, 0) AS BIGINT) AS n_passage_words
+        w2 AS (SELECT doc_id, unnest(range(1, octet_length(b) - 278)) AS i, b FROM d WHERE octet_length(b) >= 280),
+        h2 AS (SELECT doc_id, i, md5(b[i : i + 279]) AS m FROM w2),
+        rep2 AS (SELECT doc_id, i FROM h2 QUALIFY count(*) OVER (PARTITION BY m) > 1),
+        told AS (SELECT doc_id, sum(least(280, coalesce(next - i, 280))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM rep2) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, kept_sha256, CAST(coalesce(told.n, 0) AS BIGINT) AS n_passage_bytes
         FROM d JOIN kept USING (doc_id) LEFT JOIN told USING (doc_id)
     """,
     "op4_license_scan": rf"""

@@ -1,22 +1,22 @@
-"""Removal of long repeated byte strings (suffix-array dedup), and counts of repeated passages of words.
+"""Removal of long repeated byte strings (suffix-array dedup).
 
 Every byte that lies in a ``length``-byte string which also starts anywhere else in the
-corpus goes. Beside that, words that lie in a ``passage``-word string which also starts
-elsewhere are counted (a passage of 50 words may have under 400 bytes). Both are found in
-one way, over two kinds of symbols. Work is linear in the corpus and no group meets in
+corpus goes. Beside that, bytes that lie in a shorter repeated string (``passage`` bytes,
+which 50 words may have) are counted. Work is linear in the corpus and no group meets in
 one task:
 
-1. Every window of ``length`` symbols owns a content-defined anchor (see ``anchors``);
-   windows with one anchor form a run of a text, its context. Equal windows have equal
-   anchor contents, so copies can only be among contexts with one anchor hash.
+1. Every window of ``passage`` bytes owns a content-defined anchor (see ``anchors``);
+   windows with one anchor form a run of a text, its context, which reaches on to the end
+   of its last ``length``-byte string. Equal windows have equal anchor contents, so copies
+   can only be among contexts with one anchor hash.
 2. Contexts are counted by (anchor hash, content hash), with two places of each. A context
    that is alone with its anchor hash repeats nothing. One that occurs in copies of one
    text only, at one place, is repeated with its text.
 3. All other contexts go to shards by anchor hash, those that occur at two places twice,
    so that it is the arrays that find them equal; an anchor hash with many contexts is
    dealt over several shards. Each shard builds suffix arrays by Larsson-Sadakane
-   refinement and common prefixes by Kasai, and finds the windows that another suffix of
-   the shard shares.
+   refinement and common prefixes by Kasai, and finds the windows of both lengths that
+   another suffix of the shard shares.
 4. Windows of hashes that were dealt over several shards are merged across shards: each
    shard's windows go, as sorted 128-bit digests, to ranges of digests, where the runs of
    equal digests are found by binary search.
@@ -41,23 +41,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Buffer, U, mix, words_of
+from .anchors import Buffer, U, mix
 from .common import discard, staged
 from .suffixes import repeated_windows
 
-#: Bytes of a window, and words of one.
-LENGTH, PASSAGE = 400, 50
-#: The part of a window in which its anchor is.
-REACH = 0.75
+#: Bytes of a string that goes, and of one that is counted.
+LENGTH, PASSAGE = 400, 280
+#: An anchor is among the first bytes of a window, and this many bytes from there on are its content.
+CONTENT = 80
 #: Bytes of text a hashing pass and a suffix array hold at once.
 PASS_BYTES, SHARD_BYTES = 1 << 20, 3 << 17
 #: Distinct contexts of one anchor hash in one shard.
 SHARD_CONTEXTS = 48
 #: The table of mixed anchor hashes is broadcast if it has at most this many rows; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 400_000
-#: A text with more symbols than this is hashed in pieces that share ``length - 1`` of them.
-TEXT_SYMBOLS = 4 << 20
-BYTES, WORDS = 0, 1
+#: A text longer than this is hashed in pieces that share ``length - 1`` bytes.
+TEXT_BYTES = 4 << 20
 
 
 def compressed(docs: DataFrame, id_col: str, text_col: str, least: int = 0) -> DataFrame:
@@ -74,132 +73,111 @@ def compressed(docs: DataFrame, id_col: str, text_col: str, least: int = 0) -> D
     return rows.mapInArrow(run, "id long, key long, blob binary")
 
 
-def pieces(data, length: int) -> list:
-    return [(lo, data[lo : lo + TEXT_SYMBOLS + length - 1]) for lo in range(0, max(1, len(data) - length + 1), TEXT_SYMBOLS)]
+def pieces(data: bytes, length: int, most: int) -> list[tuple[int, bytes]]:
+    return [(lo, data[lo : lo + most + length - 1]) for lo in range(0, len(data), most)]
 
 
-def reach_of(length: int) -> int:
-    return max(1, int(length * REACH))
-
-
-def unit_of(h: int) -> int:
-    """An anchor hash's lowest bit tells bytes from words."""
-    return h & 1
-
-
-def contexts(docs: DataFrame, id_col: str, text_col: str, lengths: tuple[int, int]) -> DataFrame:
+def contexts(docs: DataFrame, id_col: str, text_col: str, length: int, passage: int, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """(id, key, at, windows, h, c) arrays of each row: where a run begins, its windows, anchor hash and content hash."""
-
-    def out(held: list, unit: int) -> pa.RecordBatch:
-        length, reach = lengths[unit], reach_of(lengths[unit])
-        buffer = (Buffer.of_bytes if unit == BYTES else Buffer.of_words)([x[3] for x in held])
-        text, first, last, anchor = buffer.runs(length, reach)
-        h = buffer.hashes(anchor, anchor + length - reach, 0) >> U(1) << U(1) | U(unit)
-        c = buffer.hashes(first, last + length, 1) ^ mix((anchor - first).astype(U) << U(32) | (last - first).astype(U))
-        offsets = pa.array(np.searchsorted(text, np.arange(len(held) + 1)), pa.int32())
-        at = first - buffer.starts[text] + np.array([x[2] for x in held], np.int64)[text]
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, k)) for x, k in ((at, pa.int32()), (last - first + 1, pa.int32()), (h.view(np.int64), pa.int64()), (c.view(np.int64), pa.int64()))]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), *lists], ["id", "key", "at", "windows", "h", "c"])
-
-    def both(rows: list[tuple[int | None, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        yield out([(i, key, lo, part) for i, key, data in rows if len(data) >= lengths[BYTES] for lo, part in pieces(data, lengths[BYTES])], BYTES)
-        h, counts = words_of([x[2] for x in rows])
-        ends = np.cumsum(counts)
-        cut = [(i, key, h[e - n : e]) for (i, key, _), e, n in zip(rows, ends.tolist(), counts.tolist()) if n >= lengths[WORDS]]
-        yield out([(i, key, lo, part) for i, key, data in cut for lo, part in pieces(data, lengths[WORDS])], WORDS)
+    content = min(CONTENT, passage // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[tuple[int | None, int, int, bytes]]) -> pa.RecordBatch:
+            buffer = Buffer([x[3] for x in held])
+            text, first, last, anchor = buffer.runs(passage, passage - content, text_bytes)
+            h = buffer.hashes(anchor, anchor + content, 0)
+            end = np.minimum(last + length, buffer.ends[text])
+            c = buffer.hashes(first, end, 1) ^ mix((anchor - first).astype(U) << U(32) | (last - first).astype(U))
+            offsets = pa.array(np.searchsorted(text, np.arange(len(held) + 1)), pa.int32())
+            at = first - buffer.starts[text] + np.array([x[2] for x in held], np.int64)[text]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, k)) for x, k in ((at, pa.int32()), (last - first + 1, pa.int32()), (h.view(np.int64), pa.int64()), (c.view(np.int64), pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), *lists], ["id", "key", "at", "windows", "h", "c"])
+
         held, size = [], 0
         for batch in batches:
             for i, key, text in zip(*(c.to_pylist() for c in batch.columns)):
-                data = text.encode("utf-8", "surrogatepass")
-                held.append((i, key, data))
-                size += len(data)
-                if size > PASS_BYTES:
-                    yield from both(held)
-                    held, size = [], 0
+                for lo, data in pieces(text.encode("utf-8", "surrogatepass"), length, text_bytes):
+                    held.append((i, key, lo, data))
+                    size += len(data)
+                    if size > PASS_BYTES:
+                        yield out(held)
+                        held, size = [], 0
         if held:
-            yield from both(held)
+            yield out(held)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.where(F.octet_length("text") >= fewest_bytes(lengths)).mapInArrow(run, "id long, key long, at array<int>, windows array<int>, h array<long>, c array<long>")
-
-
-def fewest_bytes(lengths: tuple[int, int]) -> int:
-    """A text with less has no window of either kind."""
-    return min(lengths[BYTES], 2 * lengths[WORDS] - 1)
+    return rows.where(F.octet_length("text") >= passage).mapInArrow(run, "id long, key long, at array<int>, windows array<int>, h array<long>, c array<long>")
 
 
-def cut_out(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, lengths: tuple[int, int]) -> DataFrame:
-    """(h, c, place, salt, data): the symbols of each wanted context, words as hashes. ``wanted``: (key, places of (at, windows, h, c, place, salt))."""
+def cut_out(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, length: int, passage: int) -> DataFrame:
+    """(h, c, place, salt, windows, data): the bytes of each wanted context. ``wanted``: (key, places of (at, windows, h, c, place, salt))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
             for blob, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data, words = unpack(blob), None
+                data = unpack(blob)
                 for p in places:
-                    unit, n = unit_of(p["h"]), p["windows"] + lengths[unit_of(p["h"])] - 1
-                    if unit == WORDS and words is None:
-                        words = words_of([data])[0]
-                    piece = (data if unit == BYTES else words)[p["at"] : p["at"] + n]
+                    piece = data[p["at"] : p["at"] + p["windows"] + length - 1]
                     # two texts under one key would be cut at places of one
-                    if len(piece) == n:
-                        rows.append({"h": p["h"], "c": p["c"], "place": p["place"], "salt": p["salt"], "data": bytes(piece)})
+                    if len(piece) >= p["windows"] + passage - 1:
+                        rows.append({k: p[k] for k in ("h", "c", "place", "salt", "windows")} | {"data": piece})
                 if len(rows) > 2000:
                     yield pa.RecordBatch.from_pylist(rows, CUT)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, CUT)
 
-    met = compressed(docs, id_col, text_col, fewest_bytes(lengths)).dropDuplicates(["key"]).join(wanted, "key").select("blob", "places")
-    return met.mapInArrow(run, "h long, c long, place int, salt int, data binary")
+    # equal texts bring equal bytes, so one of them will do
+    met = compressed(docs, id_col, text_col, passage).dropDuplicates(["key"]).join(wanted, "key").select("blob", "places")
+    return met.mapInArrow(run, "h long, c long, place int, salt int, windows int, data binary")
 
 
-CUT = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("place", pa.int32()), ("salt", pa.int32()), ("data", pa.binary())])
-WINDOWS = "h long, c long, salt int, lo int, hi int, d1 long, d2 long"
+CUT = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("place", pa.int32()), ("salt", pa.int32()), ("windows", pa.int32()), ("data", pa.binary())])
+#: ``size`` is a window's length; digests only where shards must be merged.
+WINDOWS = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("size", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
 
 
 def shard_windows(batches: Iterator[pa.RecordBatch], lengths: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Runs [lo, hi) of each context's windows that the shard repeats, and each window's digests where shards must be merged."""
-    held: list[dict[tuple[int, int, int], tuple[int, bytes]]] = [{}, {}]
+    held: dict[tuple[int, int, int], tuple[int, int, bytes]] = {}
     size, last = 0, None
 
-    def out(unit: int) -> pa.RecordBatch:
-        length, rows = lengths[unit], held[unit]
-        data = [x[1] if unit == BYTES else np.frombuffer(x[1], U) for x in rows.values()]
-        found = repeated_windows(data, length)
-        cols: list[list] = [[] for _ in range(7)]
-        for (h, c, place), flags, (salt, _) in zip(rows, found, rows.values()):
-            if place:  # the first of two equal ones tells
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-            for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                for col, v in zip(cols, (h, c, salt, lo, hi, None, None)):
-                    col.append(v)
-        dealt = [(k, x, d) for (k, x), d in zip(rows.items(), data) if x[0] >= 0 and not k[2]]
-        if dealt:
-            buffer = (Buffer.of_bytes if unit == BYTES else Buffer.of_words)([d for *_, d in dealt])
-            for (k, x, _), start, n in zip(dealt, buffer.starts.tolist(), buffer.sizes.tolist()):
-                at = np.arange(start, start + n - length + 1)
-                d1, d2 = (buffer.hashes(at, at + length, lane).view(np.int64).tolist() for lane in (0, 1))
-                m = len(d1)
-                for col, v in zip(cols, ([k[0]] * m, [k[1]] * m, [x[0]] * m, range(m), range(1, m + 1), d1, d2)):
+    def out() -> Iterator[pa.RecordBatch]:
+        # contexts of a text overlap, so only the windows of each one's own run count
+        found = repeated_windows([x[2] for x in held.values()], [x[1] for x in held.values()], *lengths)
+        # the first of two equal ones tells
+        told = [(i, h, c, x) for i, ((h, c, place), x) in enumerate(held.items()) if not place]
+        dealt = [x for x in told if x[3][0] >= 0]
+        buffer = Buffer([x[2] for *_, x in dealt]) if dealt else None
+        for length, flags in zip(lengths, found):
+            cols: list[list] = [[] for _ in range(4)]
+            for i, h, c, _ in told:
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], flags[i], [False]]).astype(np.int8))).tolist()
+                for col, v in zip(cols, ([h] * (len(edge) // 2), [c] * (len(edge) // 2), edge[::2], edge[1::2])):
                     col.extend(v)
-        rows.clear()
-        kinds = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64()] * 2
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["h", "c", "salt", "lo", "hi", "d1", "d2"])
+            n = len(cols[0])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((cols[0], cols[1], [length] * n, cols[2], cols[3], [None] * n, [None] * n), WINDOWS.types)], WINDOWS.names)
+            for k, (_, h, c, (_, windows, data)) in enumerate(dealt):
+                n = min(windows, len(data) - length + 1)
+                if n > 0:
+                    at = buffer.starts[k] + np.arange(n)
+                    d1, d2 = (buffer.hashes(at, at + length, lane).view(np.int64) for lane in (0, 1))
+                    arrays = (np.full(n, h), np.full(n, c), np.full(n, length), np.arange(n), np.arange(1, n + 1), d1, d2)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, WINDOWS.types)], WINDOWS.names)
+        held.clear()
 
     for batch in batches:
-        for h, c, place, salt, data in zip(*(x.to_pylist() for x in batch.columns)):
+        for h, c, place, salt, windows, data in zip(*(x.to_pylist() for x in batch.columns)):
             if size > SHARD_BYTES and (h, salt) != last:
-                yield from (out(u) for u in (BYTES, WORDS) if held[u])
+                yield from out()
                 size = 0
             last = (h, salt)
-            held[unit_of(h)][h, c, place] = (salt, data)
+            held[h, c, place] = (salt, windows, data)
             size += len(data)
-    yield from (out(u) for u in (BYTES, WORDS) if held[u])
+    if held:
+        yield from out()
 
 
 def merge_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +191,7 @@ def merge_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for i in np.flatnonzero(right - left > 1).tolist():
             out[i] = (b[left[i] : right[i]] == b[i]).sum() > 1
         # one that repeats in its own shard was found there; it takes part, and is told again
-        return t.filter(pa.array(out)).select(["h", "c", "lo", "hi"]).combine_chunks()
+        return t.filter(pa.array(out)).select(["h", "c", "size", "lo", "hi"]).combine_chunks()
 
     for batch in batches:
         t = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
@@ -225,14 +203,15 @@ def merge_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from repeated(rest).to_batches()
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, int] = (LENGTH, PASSAGE)) -> DataFrame:
-    """(id, key, bytes, words): window runs (lo, hi) of each row's text that are repeated, in bytes and in words."""
-    found = staged(contexts(docs, id_col, text_col, lengths), "contexts")
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int = PASSAGE, text_bytes: int = TEXT_BYTES) -> DataFrame:
+    """(id, key, long, short): window runs (lo, hi) of each row's text that are repeated, of ``length`` bytes and of ``passage`` bytes."""
+    found = staged(contexts(docs, id_col, text_col, length, passage, text_bytes), "contexts")
     each = found.select("id", "key", F.explode(F.arrays_zip("at", "windows", "h", "c")).alias("x")).select("id", "key", "x.*")
     # one table row for each distinct context, with its first and last place
-    at = F.struct("key", "at", "windows")
-    kinds = staged(each.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(at).alias("p"), F.max(at).alias("q")), "kinds")
-    apart = F.col("p") != F.col("q")
+    place = F.struct("key", "at", "windows")
+    kinds = each.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("p"), F.max(place).alias("q"))
+    kinds = staged(kinds.withColumn("q", F.when(F.col("p") != F.col("q"), F.col("q"))), "kinds")
+    apart = F.col("q").isNotNull()
     anchors = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max(apart).alias("apart")).where("kinds > 1 OR apart")
     anchors = staged(anchors.select(F.col("h").alias("g"), "kinds"), "anchors")
     shards = F.ceil(F.col("kinds") / SHARD_CONTEXTS)
@@ -240,26 +219,29 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     few = F.broadcast(anchors) if anchors.count() <= BROADCAST_ROWS else anchors
     wanted = kinds.join(few, F.col("h") == F.col("g")).select("h", "c", salt.alias("salt"), F.posexplode(F.when(apart, F.array("p", "q")).otherwise(F.array("p"))).alias("place", "p"))
     wanted = wanted.groupBy("p.key").agg(F.collect_list(F.struct("p.at", "p.windows", "h", "c", "place", "salt")).alias("places"))
-    cut = cut_out(docs, wanted, id_col, text_col, lengths).repartition("h", "salt").sortWithinPartitions("h", "salt", "c", "place")
-    windows = staged(cut.mapInArrow(lambda b: shard_windows(b, lengths), WINDOWS), "windows")
-    local = windows.where("d1 IS NULL").select("h", "c", "lo", "hi")
-    dealt = windows.where("d1 IS NOT NULL").select("h", "c", "lo", "hi", "d1", "d2")
-    merged = dealt.repartition("d1").sortWithinPartitions("d1", "d2").mapInArrow(merge_digests, "h long, c long, lo int, hi int")
-    copied = kinds.where((F.col("n") > 1) & ~apart).select("h", "c", F.lit(0).alias("lo"), F.col("p.windows").alias("hi"))
-    runs = staged(copied.unionByName(local).unionByName(merged).select(F.col("h").alias("g"), F.col("c").alias("d"), "lo", "hi"), "runs")
+    cut = cut_out(docs, wanted, id_col, text_col, length, passage).repartition("h", "salt").sortWithinPartitions("h", "salt", "c", "place")
+    windows = staged(cut.mapInArrow(lambda b: shard_windows(b, (length, passage)), "h long, c long, size int, lo int, hi int, d1 long, d2 long"), "windows")
+    local = windows.where("d1 IS NULL").select("h", "c", "size", "lo", "hi")
+    dealt = windows.where("d1 IS NOT NULL")
+    merged = dealt.repartition("d1").sortWithinPartitions("d1", "d2").mapInArrow(merge_digests, "h long, c long, size int, lo int, hi int")
+    # both lengths; what is past a text's end is cut off there
+    copied = kinds.where((F.col("n") > 1) & ~apart).select("h", "c", F.explode(F.array(F.lit(length), F.lit(passage))).alias("size"), F.lit(0).alias("lo"), F.col("p.windows").alias("hi"))
+    runs = staged(copied.unionByName(local).unionByName(merged).select(F.col("h").alias("g"), F.col("c").alias("d"), "size", "lo", "hi"), "runs")
     discard(kinds, anchors, windows)
     placed = each.join(runs, (F.col("h") == F.col("g")) & (F.col("c") == F.col("d")))
     run = F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
-    of = lambda unit: F.collect_set(F.when(F.col("h").bitwiseAND(1) == unit, run))
-    out = staged(placed.groupBy("id", "key").agg(of(BYTES).alias("bytes"), of(WORDS).alias("words")), "repeats")
+    of = lambda n: F.collect_set(F.when(F.col("size") == n, run))
+    out = staged(placed.groupBy("id", "key").agg(of(length).alias("long"), of(passage).alias("short")), "repeats")
     discard(found, runs)
     return out
 
 
-def spans(runs: list, length: int) -> list[tuple[int, int]]:
-    """Removed spans, merged where they touch."""
+def spans(runs: list, length: int, end: int) -> list[tuple[int, int]]:
+    """Spans of repeated windows, merged where they touch; windows that don't fit before ``end`` are none."""
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted((r["lo"], r["hi"] + length - 1) for r in runs or ()):
+    for lo, hi in sorted((r["lo"], min(r["hi"] + length - 1, end)) for r in runs or ()):
+        if hi - lo < length:
+            continue
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], hi))
         else:
@@ -267,30 +249,30 @@ def spans(runs: list, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int = PASSAGE, with_data: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words, spans[, kept]) of every row; ``kept``: the bytes that stay."""
-    runs = repeated_runs(docs, id_col, text_col, (length, passage))
-    runs = runs.select(F.col("id").alias("i"), F.col("key").alias("k"), "bytes", "words")
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int = PASSAGE, with_data: bool = False, text_bytes: int = TEXT_BYTES) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes, spans[, kept]) of every row; ``kept``: the bytes that stay."""
+    runs = repeated_runs(docs, id_col, text_col, length, passage, text_bytes)
+    runs = runs.select(F.col("id").alias("i"), F.col("key").alias("k"), "long", "short")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
-            for i, blob, found, words in zip(*(c.to_pylist() for c in batch.columns)):
+            for i, blob, found, short in zip(*(c.to_pylist() for c in batch.columns)):
                 data = unpack(blob)
-                gone = spans(found, length)
+                gone = spans(found, length, len(data))
                 parts, at = [], 0
                 for lo, hi in gone:
                     parts.append(data[at:lo])
                     at = hi
                 kept = b"".join([*parts, data[at:]])
-                told = sum(hi - lo for lo, hi in spans(words, passage))
+                told = sum(hi - lo for lo, hi in spans(short, passage, len(data)))
                 for col, v in zip(cols, (i, len(data), len(data) - len(kept), [x for s in gone for x in s], hashlib.sha256(kept).hexdigest(), told, kept)):
                     col.append(v)
             arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array([len(x) // 2 for x in cols[3]], pa.int64()), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.int64()), pa.array(cols[3], pa.list_(pa.int32()))]
-            names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "spans"]
+            names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "spans"]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(cols[6], pa.binary())] if with_data else arrays, names + ["kept"] * with_data)
 
     rows = compressed(docs, id_col, text_col)
-    rows = rows.join(runs, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left").select("id", "blob", "bytes", "words")
-    return rows.mapInArrow(finish, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, spans array<int>" + ", kept binary" * with_data)
+    rows = rows.join(runs, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left").select("id", "blob", "long", "short")
+    return rows.mapInArrow(finish, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, spans array<int>" + ", kept binary" * with_data)

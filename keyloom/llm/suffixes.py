@@ -4,38 +4,26 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bits of a byte as a symbol, with the end of a text and the end of all.
-BYTE_BITS = 9
+#: Symbols that the first sort looks at; nine bits each.
+FIRST = 7
 
 
-def at_once(bits: int) -> int:
-    """Symbols that are compared as one number."""
-    return max(1, 63 // bits)
+def suffix_array(symbols: np.ndarray) -> np.ndarray:
+    """Suffix order of symbols from 0 to 510.
 
-
-def blocks(symbols: np.ndarray, bits: int) -> np.ndarray:
-    """The next symbols from each place on as one number; 0 is past the end."""
-    n, first = len(symbols), at_once(bits)
-    padded = np.zeros(n + first, np.int64)
-    padded[:n] = symbols.astype(np.int64) + 1
-    out = np.zeros(n, np.int64)
-    for i in range(first):
-        out <<= bits
-        out |= padded[i : n + i]
-    return out
-
-
-def suffix_array(symbols: np.ndarray, bits: int = BYTE_BITS) -> np.ndarray:
-    """Suffix order of symbols from 0 to 2 ** bits - 2.
-
-    The first sort is by as many symbols as fit a number. Each round doubles the depth by sorting the
+    The first sort is by FIRST symbols. Each round doubles the depth by sorting the
     members of groups that are still tied by the rank of the suffix ``depth`` further on;
     groups of one are never touched again.
     """
     n = len(symbols)
     if n < 2:
         return np.arange(n, dtype=np.int32)
-    key = blocks(symbols, bits)
+    padded = np.zeros(n + FIRST, np.int64)
+    padded[:n] = symbols.astype(np.int64) + 1  # 0 is the end
+    key = np.zeros(n, np.int64)
+    for i in range(FIRST):
+        key <<= 9
+        key |= padded[i : n + i]
     sa = np.argsort(key).astype(np.int32)
     key = key[sa]
     new = np.ones(n, bool)
@@ -44,7 +32,7 @@ def suffix_array(symbols: np.ndarray, bits: int = BYTE_BITS) -> np.ndarray:
     rank[n] = -1
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
     tied = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in sa
-    depth = at_once(bits)
+    depth = FIRST
     while len(tied):
         at = sa[tied]
         key = rank[at].astype(np.int64) << 32
@@ -60,12 +48,12 @@ def suffix_array(symbols: np.ndarray, bits: int = BYTE_BITS) -> np.ndarray:
     return sa
 
 
-def common_prefixes(symbols: np.ndarray, sa: np.ndarray, bits: int = BYTE_BITS) -> np.ndarray:
+def common_prefixes(symbols: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """Common prefix of each suffix (by its place in the text) with the one before it in order.
 
     Kasai: the prefix of the suffix one further on is shorter by one at most, and by just
     one where the symbols before the two suffixes agree. So symbols are compared only at
-    the places where they don't, several at a time; the others count down from there.
+    the places where they don't, FIRST at a time; the others count down from there.
     """
     n = len(symbols)
     out = np.zeros(n, np.int32)
@@ -75,18 +63,22 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, bits: int = BYTE_BITS)
     before[sa[1:]] = sa[:-1]
     fresh = np.ones(n, bool)
     fresh[1:] = (before[1:] < 1) | (symbols[:-1] != symbols[before[1:] - 1])
-    # past the end each place has a block of its own
-    first = at_once(bits)
-    block = np.append(blocks(symbols, bits), np.zeros(first, np.int64))
-    tail = max(0, n - first + 1)
+    # blocks of FIRST symbols; past the end each place has a block of its own
+    padded = np.zeros(n + FIRST, np.int64)
+    padded[:n] = symbols.astype(np.int64) + 1
+    block = np.zeros(n + FIRST, np.int64)
+    for i in range(FIRST):
+        block[:n] <<= 9
+        block[:n] |= padded[i : n + i]
+    tail = max(0, n - FIRST + 1)
     block[tail:] = -1 - np.arange(len(block) - tail)
     at = np.flatnonzero(fresh & (before >= 0))
     x, y = at.copy(), before[at].astype(np.int64)
     lanes = np.arange(len(at))
     while len(lanes):
         lanes = lanes[block[x[lanes]] == block[y[lanes]]]
-        x[lanes] += first
-        y[lanes] += first
+        x[lanes] += FIRST
+        y[lanes] += FIRST
     lanes = np.arange(len(at))
     while len(lanes):
         here = lanes[np.maximum(x[lanes], y[lanes]) < n]
@@ -99,23 +91,26 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, bits: int = BYTE_BITS)
     return out[last] - (place - last)
 
 
-def repeated_windows(texts: list[bytes] | list[np.ndarray], length: int) -> list[np.ndarray]:
-    """For each sequence (of bytes, or of word hashes), whether the ``length`` symbols from each window start on also start elsewhere in any of them."""
-    arrays = [np.frombuffer(t, np.uint8) if isinstance(t, bytes) else t for t in texts]
-    sizes = np.array([len(t) for t in arrays], np.int64)
-    bits = BYTE_BITS
-    if arrays and arrays[0].dtype != np.uint8:
-        names, ranks = np.unique(np.concatenate(arrays), return_inverse=True)
-        bits, at = (len(names) + 2).bit_length(), np.cumsum(sizes) - sizes
-        arrays = [ranks[a : a + n] for a, n in zip(at.tolist(), sizes.tolist())]
-    # symbol 0 ends each text, so no window matches across an end
-    symbols = np.zeros(int(sizes.sum()) + len(arrays), np.int16 if bits == BYTE_BITS else np.int32)
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    for s, t in zip(starts.tolist(), arrays):
-        symbols[s : s + len(t)] = t.astype(symbols.dtype) + 1
-    sa = suffix_array(symbols, bits)
-    prefix = common_prefixes(symbols, sa, bits)
-    long = prefix[sa] >= length
-    found = np.zeros(len(symbols), bool)
-    found[sa] = long | np.append(long[1:], False)
-    return [found[s : s + max(0, n - length + 1)] for s, n in zip(starts.tolist(), sizes.tolist())]
+def repeated_windows(texts: list[bytes], windows: list[int], *lengths: int) -> list[list[np.ndarray]]:
+    """For each length, and each text, whether the string of that length at each of its window starts also is at another window start.
+
+    A text has so many window starts at its begin as ``windows`` says (fewer if a string doesn't fit).
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    # symbol 0 ends each text, so no window of bytes matches across an end
+    symbols = np.zeros(int(sizes.sum()) + len(texts), np.int16)
+    counts = np.zeros(len(symbols), bool)
+    starts = (np.cumsum(sizes + 1) - sizes - 1).tolist()
+    for s, t, n in zip(starts, texts, windows):
+        symbols[s : s + len(t)] = np.frombuffer(t, np.uint8).astype(np.int16) + 1
+        counts[s : s + min(n, len(t))] = True
+    sa = suffix_array(symbols)
+    prefix, counts = common_prefixes(symbols, sa)[sa], counts[sa]
+    out = []
+    for n in lengths:
+        # suffixes with one prefix of that length
+        group = np.cumsum(prefix < n) - 1
+        found = np.zeros(len(symbols), bool)
+        found[sa] = counts & (np.bincount(group, counts) > 1)[group] if len(group) else counts
+        out.append([found[s : s + max(0, min(w, len(t) - n + 1))] for s, t, w in zip(starts, texts, windows)])
+    return out
