@@ -10,6 +10,7 @@ from statistics import median
 
 HEADLINES = [
     "merge_full_outer",
+    "merge_full_outer_exact",
     "merge_policy_drop",
     "merge_conflicts",
     "merge_unmatched",

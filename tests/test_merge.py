@@ -119,12 +119,35 @@ def test_closest_is_brute_force(spark):
             assert got.get(k, "") == "、".join(difflib.get_close_matches(k, [x for x in keys if x != k], n=3, cutoff=0.5))
 
 
+def test_closest_at_other_cutoffs(spark):
+    r = random.Random(6)
+    keys = list({"".join(r.choice("aab é漢1") for _ in range(r.randrange(1, 15))) for _ in range(60)}) + ["a" * 30, "a" * 11]
+    df = spark.createDataFrame([(k,) for k in keys], "key string")
+    for cutoff in (0.3, 0.8, 1.0):
+        got = {x.key: x.closest for x in closest(df, df, n=2, cutoff=cutoff).collect()}
+        for k in keys:
+            assert got.get(k, "") == "、".join(difflib.get_close_matches(k, [x for x in keys if x != k], n=2, cutoff=cutoff))
+
+
+def test_unmatched_with_candidates_is_brute_force(spark):
+    """The registered query's plan, on whole keys of two small sources."""
+    a, b = ([f"{x}{i}" for i in range(n)] for x, n in (("张三a", 12), ("张三b", 9)))
+    tables = [Table(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], f"`姓名` string, {ROW} long"), TableInfo(f, headers=["姓名"])) for f, keys in (("x", a + ["z"]), ("y", b + ["z"]))]
+    rows = Merge([Source(t, "姓名") for t in tables]).unmatched().collect()
+    pool = a + b + ["z"]
+    assert [r[2] for r in rows] == a + b
+    for r in rows:
+        assert r[4] == "、".join(difflib.get_close_matches(r[2], [x for x in pool if x != r[2]], n=3, cutoff=0.5))
+
+
 def test_cli(spark, files, tmp_path, capsys):
     assert cli.main(["inspect", *files.values(), "--out", str(tmp_path / "p.json"), "--sample", "2"]) == 0
     assert len(json.load(open(tmp_path / "p.json"))["tables"][0]["sample"]) == 2
     assert cli.main(["suggest-keys", "--profile", str(tmp_path / "p.json"), "--out", str(tmp_path / "k.json")]) == 0
     (tmp_path / "plan.json").write_text(json.dumps(plan_of(files)), "utf-8")
     assert cli.main(["merge", "--plan", str(tmp_path / "plan.json"), "--out", str(tmp_path / "o.xlsx")]) == 0
+    assert cli.main(["inspect", "--files", *files.values(), "--out", str(tmp_path / "p2.json"), "--backend", "stdlib"]) == 0
+    assert [t["n_rows"] for t in json.load(open(tmp_path / "p2.json"))["tables"]] == [8, 8, 8]
     assert cli.main(["inspect", "only-one.csv"]) == 2
     assert cli.main(["selfcheck"]) == 0
     capsys.readouterr()
@@ -132,7 +155,8 @@ def test_cli(spark, files, tmp_path, capsys):
 
 
 def test_selftest(spark):
-    assert cli.selftest(spark)["n_keys"] == 7
+    got = cli.selftest(spark)
+    assert (got["n_keys"], got["n_keys_cross_format"], got["formats_checked"]) == (7, 2, ["html", "ods", "delimited"])
 
 
 def test_two_other_formats(spark, tmp_path):

@@ -42,3 +42,19 @@ def test_entry_runs_without_optional_parts(spark):
     assert entry.entry(spark).count() > 0
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_missing_parts_are_told(monkeypatch):
+    import __spark_entry__ as entry
+
+    def absent(name, reason):
+        def load(_):
+            raise ImportError(reason, name=name)
+
+        return load
+
+    monkeypatch.setattr(entry, "import_module", absent("keyloom.llm", "gone"))
+    assert "merge_full_outer" in entry.queries() and "pipeline" not in entry.queries()
+    monkeypatch.setattr(entry, "import_module", absent("zstandard", "not installed"))
+    with pytest.warns(UserWarning, match="not installed"):
+        assert "pipeline" not in entry.queries()

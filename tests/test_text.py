@@ -66,3 +66,20 @@ def test_number_text(spark, raw, expected):
 def test_aliases(spark):
     assert T.aliases("a、b/ c；|d") == ["a", "b", "c", "d"]
     assert spark.createDataFrame([("a、b/ c；|d",)], "x string").select(C.aliases(F.col("x"))).first()[0] == ["a", "b", "c", "d"]
+
+
+def test_kernels_are_the_rules(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    pieces = ["EMP-", "no. ", "ID：", "a", "Z9", "ß", "İ", "ﬁ", "（旧）", "(x)", " ", "\t", "\x1c", "\x0b", "\u3000", "\xa0", "\x85", "漢", "Ｅ", "-_", "#", "", "é"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(7))) for _ in range(600)] + [None, ""]
+    texts += ["".join(r.choice([p for p in pieces if p.isascii()]) for _ in range(r.randrange(7))) for _ in range(600)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rules = {"norm_text": (C.norm_text_exact, T.norm_text), "squeeze": (C.squeeze_exact, T.squeeze)}
+    rules |= {k: (lambda c, k=k: C.norm_key_exact(c, k), lambda x, k=k: T.norm_key(x, k)) for k in ("id", "name", "auto")}
+    rows = df.select("t", *[f(F.col("t")).alias(n) for n, (f, _) in rules.items()]).collect()
+    for x in rows:
+        assert {n: x[n] for n in rules} == {n: rule(x.t) for n, (_, rule) in rules.items()}, repr(x.t)
