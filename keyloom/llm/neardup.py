@@ -4,16 +4,17 @@ Texts are cut into shingles of five words. A shingle weighs its count in the tex
 the mean inverse document frequency of its words; word frequencies are counted over all
 documents, in a hashed vocabulary of fixed size (so what is broadcast doesn't grow). Each
 text gets ``bands * rows`` improved consistent weighted samples; texts that agree on all
-samples of a band (or of two or three neighbouring bands) are compared with that group's
-smallest member, pairs are verified by weighted Jaccard similarity of the whole shingle
+samples of a band (or of two or three neighbouring bands) are compared with a few of that
+group, its pivots; pairs are verified by weighted Jaccard similarity of the whole shingle
 sets, and verified pairs are joined into classes.
 
-Equal texts are one node from the start. A group of n texts gives at most n - 1 pairs for
-each key and round, so no group is expanded into all pairs. A group is settled once all
-its members are in one class; until then its other members, linked or not, are grouped
-again, for ``rounds`` rounds. What is left goes to an exact prefix-filter join, so every
-pair that shares a band is in one class, verified, or bound to be below the threshold.
-Rows of a crowded key meet one row, its pivot, so the adaptive skew join may split them.
+Equal texts are one node from the start. A group of n texts gives at most n pairs for
+each pivot, so no group is expanded into all pairs. A group is settled once all its
+members are in one class; until then its other members, linked or not, meet more pivots,
+as many in each round as ``pivots`` says: of a large group of copies nearly all are then in
+one class. What is left goes to an exact prefix-filter join, so every pair that shares a
+band is in one class, verified, or bound to be below the threshold. Rows of a crowded key
+meet its pivots only, so the adaptive skew join may split them.
 Sampling finds a pair at the threshold in a band with probability 0.64 and in one of
 twelve with 0.999995; tests measure recall of classes against brute force.
 
@@ -35,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import mix
@@ -51,6 +52,8 @@ SCALE = 8
 CACHE_WORDS = 400_000
 #: Buckets in which the exact join counts shingles.
 PLACES = 1 << 20
+#: Members of one class in one list of the exact join.
+LIST = 2000
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
 _hashes: dict[str, int] = {}
@@ -260,10 +263,14 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     """(a, b) of all members that can reach the threshold and aren't in one class, by an exact prefix filter.
 
     A set's shingles are put into one global order, rarest first. Of two sets at the
-    threshold, the first shared shingle leaves at least the threshold's share of each
-    set's weight from there on, so it is in both prefixes. Frequencies are counted in
-    hashed buckets; they only decide on the order, so nothing depends on their precision.
-    Members of one class are kept in a list, so they don't meet each other.
+    threshold t, what they share weighs t of the heavier one and 2t / (1 + t) of the
+    lighter one at least, and all of it comes from the first shared shingle on. So that
+    shingle is in the heavier set's prefix (up to 1 - t of its weight) and in the lighter
+    one's shorter one. Texts that only have a passage in common don't meet by it, unless
+    it is so much of both that they are near copies, which then are in one class: members
+    of one class are kept in a list, and what a list can share at most is looked at before
+    its members are. Frequencies are counted in hashed buckets; they only decide on the
+    order, so nothing depends on their precision.
     """
     nodes = left.groupBy("node").agg(F.min("root").alias("root")).withColumnRenamed("node", "n")
     wanted = staged(sets.join(nodes, F.col("node") == F.col("n")).select("node", "root", "packed"), "wanted")
@@ -281,30 +288,57 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     often[found["b"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
     shared = left.sparkSession.sparkContext.broadcast(often)
 
+    short = 2 * threshold / (1 + threshold)
+
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = []
-            for packed_ in batch.column(2).to_pylist():
+            cols: list[list] = [[] for _ in range(6)]
+            for node, root, packed_ in zip(*(c.to_pylist() for c in batch.columns)):
                 e, w = unpacked(packed_)
                 e, at = np.unique(e, return_inverse=True)
                 w = np.bincount(at, w)
                 order = np.lexsort((e, shared.value[e % PLACES]))
-                rest = np.cumsum(w[order][::-1])[::-1]
-                lists.append(e[order][rest >= threshold * w.sum() - 1e-6])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64()))], ["node", "root", "firsts"])
-
-    firsts = wanted.mapInArrow(prefix, "node long, root long, firsts array<long>").select("node", "root", F.explode("firsts").alias("e"))
-    lists = staged(firsts.groupBy("e", "root").agg(F.collect_list("node").alias("held")), "firsts")
-    several = lists.groupBy("e").agg(F.count("*").alias("n")).where("n > 1").select(F.col("e").alias("e_"))
-    lists = lists.join(several, F.col("e") == F.col("e_")).select("e", "root", "held")
-    other = lists.toDF("f", "far", "others")
-    met = lists.join(other, (F.col("e") == F.col("f")) & (F.col("root") < F.col("far"))).select("held", "others").distinct()
-    met = met.select(F.explode("held").alias("p"), "others").select("p", F.explode("others").alias("q"))
-    # the larger one first, as in the rounds
-    return met.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
-
-
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 12, rows: int = 2, rounds: int = 3) -> DataFrame:
+                total, rest = w.sum(), np.cumsum(w[order][::-1])[::-1]
+                n = int((rest >= threshold * total - 1e-6).sum())
+                for col, v in zip(cols, ([node] * n, [root] * n, [total] * n, e[order][:n].tolist(), rest[:n].tolist(), (rest[:n] >= short * total - 1e-6).tolist())):
+                    col.extend(v)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["node", "root", "w", "e", "rest", "short"])
+
+    firsts = staged(wanted.mapInArrow(prefix, "node long, root long, w double, e long, rest double, short boolean"), "firsts")
+
+    # the shingles of a text's prefixes, to tell a pair's first common one; lists of a class are cut into bounded ones
+    whole = firsts.groupBy("node").agg(F.collect_list("e").alias("prefix"), F.collect_list(F.when(F.col("short"), F.col("e"))).alias("shorter"))
+    firsts = firsts.join(whole.withColumnRenamed("node", "m"), F.col("node") == F.col("m"))
+
+    def lists(rows: DataFrame, side: str, prefix: str) -> DataFrame:
+        sizes = rows.groupBy(F.col("e").alias("e_"), F.col("root").alias("r_")).agg(F.count("*").alias("size"))
+        met = rows.join(sizes, (F.col("e") == F.col("e_")) & (F.col("root") == F.col("r_")))
+        part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / LIST))
+        held = F.collect_list(F.struct("node", "w", "rest", F.col(prefix).alias("prefix"))).alias(f"{side}_held")
+        return met.groupBy(F.col("e").alias(f"{side}_e"), F.col("root").alias(f"{side}_root"), part.alias("part")).agg(held, F.max("rest").alias(f"{side}_rest"), F.min("w").alias(f"{side}_w")).drop("part")
+
+    c = threshold / (1 + threshold)
+    met = lists(firsts, "x", "prefix").join(lists(firsts.where("short"), "y", "shorter"), F.col("x_e") == F.col("y_e"))
+    met = met.where((F.col("x_root") != F.col("y_root")) & (F.least("x_rest", "y_rest") >= c * (F.col("x_w") + F.col("y_w")) - 1e-6))
+    # the heavier one is x, of equal ones that with the larger number; a pair comes from its first common shingle only
+    fits = (
+        f"(x.w > y.w OR x.w = y.w AND x.node > y.node) AND y.w >= {threshold} * x.w - 1e-6"
+        f" AND least(x.rest, y.rest) >= {c} * (x.w + y.w) - 1e-6 AND array_intersect(x.prefix, y.prefix)[0] = x_e"
+    )
+    pairs = F.expr(f"flatten(transform(y_held, y -> transform(filter(x_held, x -> {fits}), x -> struct(greatest(x.node, y.node) AS a, least(x.node, y.node) AS b))))")
+    # the larger number first, as in the rounds
+    return met.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+
+def one_key(left: DataFrame) -> DataFrame:
+    """(k, node, root) with the most crowded key of each text."""
+    sizes = left.groupBy(F.col("k").alias("key_")).agg(F.count("*").alias("size"))
+    met = left.join(sizes, F.col("k") == F.col("key_"))
+    return met.groupBy("node", "root").agg(F.max(F.struct("size", "k")).alias("m")).select("m.k", "node", "root")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 12, rows: int = 2, pivots: tuple[int, ...] = (1, 8, 8, 8)) -> DataFrame:
     """(id, key, class_id, n_links, head): a row for each input row; ``key`` is the text's digest, ``head`` says if it is the class's first text."""
     idf = inverse_frequencies(document_frequencies(docs, text_col))
     sketched = staged(sketch(docs, id_col, text_col, idf, bands, rows), "sketch")
@@ -326,14 +360,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     light = staged(members.select("node", "weight", F.slice("keys", 1, bands).alias("bands")), "light")
     edges, done = None, None
     sets = staged(weighted_sets(docs, members, id_col, text_col, idf), "sets")
-    for n in range(rounds + 1):
-        last = n == rounds
+    for n in range(len(pivots) + 1):
+        last = n == len(pivots)
         if last:
             pairs = prefix_pairs(left, sets, threshold)
         else:
-            crowd = left.groupBy("k").agg(F.min(F.struct("node", "root")).alias("p")).select(F.col("k").alias("key_"), "p.*").toDF("key_", "pivot", "pivot_root")
-            met = left.join(crowd, F.col("k") == F.col("key_")).where("node <> pivot")
-            pairs = met.where("root <> pivot_root").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+            # first all keys; then each text's most crowded one, as what is left of large groups shares most keys
+            keys = left if not n else one_key(left)
+            # by a hash that changes, so that they aren't always the same texts; the limit is applied before the exchange too
+            nth = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64(F.lit(n), "node"), "node"))
+            heads = staged(keys.withColumn("nth", nth).where(F.col("nth") <= pivots[n]).select(F.col("k").alias("key_"), F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivots")
+            met = keys.join(heads, F.col("k") == F.col("key_")).where("node <> pivot AND root <> pivot_root")
+            pairs = met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         x = light.select(F.col("node").alias("n"), F.col("weight").alias("wa"), F.col("bands").alias("ka"))
@@ -349,9 +387,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             break
         seen = judged.select("a", "b")
         done = seen if done is None else done.unionByName(seen)
-        # the pivot is settled; a group goes on until all its other members are in one class
+        # the first pivots are settled; a group goes on until all its other members are in one class
         roots = components(edges).select(F.col("node").alias("n"), F.col("root").alias("new_root"))
-        left = met.select("k", "node").join(roots, F.col("node") == F.col("n"), "left").select("k", "node", F.coalesce("new_root", "node").alias("root"))
+        rest = left if n else left.join(heads, (F.col("k") == F.col("key_")) & (F.col("node") == F.col("pivot")), "left_anti")
+        left = rest.join(roots, F.col("node") == F.col("n"), "left").select("k", "node", F.coalesce("new_root", "node").alias("root"))
         left = staged(left, "labelled")
         mixed = left.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("k").alias("key_"))
         left = staged(left.join(mixed, F.col("k") == F.col("key_")).select("k", "node", "root"), "left")

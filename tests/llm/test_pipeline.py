@@ -100,8 +100,8 @@ def test_pairs_in_crowded_groups(spark):
     idf = neardup.inverse_frequencies(neardup.document_frequencies(docs(spark, rows), "text"))
     expected, links = brute_classes(rows, idf)
     assert 20 <= links < 100
-    for rounds in (3, 0):
-        assert {x.doc_id: x.class_id for x in neardup.classes(docs(spark, rows), rounds=rounds).collect()} == expected
+    for pivots in ((1, 8, 8, 8), (1, 2), ()):
+        assert {x.doc_id: x.class_id for x in neardup.classes(docs(spark, rows), pivots=pivots).collect()} == expected
 
 
 def test_every_candidate_is_verified(spark, monkeypatch):
