@@ -51,8 +51,8 @@ LENGTH, PASSAGE = 400, 280
 CONTENT = 80
 #: Bytes of text a hashing pass and a suffix array hold at once.
 PASS_BYTES, SHARD_BYTES = 1 << 20, 3 << 17
-#: Distinct contexts of one anchor hash in one shard.
-SHARD_CONTEXTS = 48
+#: Distinct contexts of one anchor hash in one shard; each window of an anchor with more is sent to the merge.
+SHARD_CONTEXTS = 5000
 #: The table of mixed anchor hashes is broadcast if it has at most this many rows; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 400_000
 #: A text longer than this is hashed in pieces that share ``length - 1`` bytes.
@@ -159,13 +159,14 @@ def shard_windows(batches: Iterator[pa.RecordBatch], lengths: tuple[int, int]) -
                     col.extend(v)
             n = len(cols[0])
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((cols[0], cols[1], [length] * n, cols[2], cols[3], [None] * n, [None] * n), WINDOWS.types)], WINDOWS.names)
-            for k, (_, h, c, (_, windows, data)) in enumerate(dealt):
-                n = min(windows, len(data) - length + 1)
-                if n > 0:
-                    at = buffer.starts[k] + np.arange(n)
-                    d1, d2 = (buffer.hashes(at, at + length, lane).view(np.int64) for lane in (0, 1))
-                    arrays = (np.full(n, h), np.full(n, c), np.full(n, length), np.arange(n), np.arange(1, n + 1), d1, d2)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, WINDOWS.types)], WINDOWS.names)
+            fit = [max(0, min(x[3][1], len(x[3][2]) - length + 1)) for x in dealt]
+            if any(fit):
+                lo = np.concatenate([np.arange(n) for n in fit])
+                at = np.repeat(buffer.starts, fit) + lo
+                d1, d2 = (buffer.hashes(at, at + length, lane).view(np.int64) for lane in (0, 1))
+                ends = [np.repeat(np.array([x[i] for x in dealt], np.int64), fit) for i in (1, 2)]
+                arrays = (*ends, np.full(len(lo), length), lo, lo + 1, d1, d2)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, WINDOWS.types)], WINDOWS.names)
         held.clear()
 
     for batch in batches:

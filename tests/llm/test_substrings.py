@@ -115,6 +115,7 @@ def test_most_windows_are_settled_by_the_arrays(spark, monkeypatch):
     staged = substrings.staged
     monkeypatch.setattr(substrings, "staged", keep)
     monkeypatch.setattr(substrings, "discard", lambda *frames: None)
+    monkeypatch.setattr(substrings, "SHARD_CONTEXTS", 20)
     substrings.repeated_runs(table)
     kinds, windows, runs = seen["kinds"], seen["windows"], seen["runs"]
     assert kinds.where("n > 1 AND q IS NULL").count() == 0
