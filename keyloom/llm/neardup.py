@@ -307,9 +307,14 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float) -> DataFram
 
     firsts = staged(wanted.mapInArrow(prefix, "node long, root long, w double, e long, rest double, short boolean"), "firsts")
 
-    # the shingles of a text's prefixes, to tell a pair's first common one; lists of a class are cut into bounded ones
-    whole = firsts.groupBy("node").agg(F.collect_list("e").alias("prefix"), F.collect_list(F.when(F.col("short"), F.col("e"))).alias("shorter"))
-    firsts = firsts.join(whole.withColumnRenamed("node", "m"), F.col("node") == F.col("m"))
+    # most are of one text; only those by which two classes can meet are looked at further
+    shared = firsts.groupBy(F.col("e").alias("e_")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("short").alias("any")).where("lo < hi AND any").select("e_")
+    firsts = staged(firsts.join(shared, F.col("e") == F.col("e_")).select("node", "root", "w", "e", "rest", "short"), "shared")
+    # a text's shingles of these in the global order, to tell a pair's first common one; lists of a class are cut into bounded ones
+    at = F.struct((-F.col("rest")).alias("at"), "e")
+    in_order = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["e"])
+    whole = firsts.groupBy(F.col("node").alias("m")).agg(in_order(at).alias("prefix"), in_order(F.when(F.col("short"), at)).alias("shorter"))
+    firsts = firsts.join(whole, F.col("node") == F.col("m"))
 
     def lists(rows: DataFrame, side: str, prefix: str) -> DataFrame:
         sizes = rows.groupBy(F.col("e").alias("e_"), F.col("root").alias("r_")).agg(F.count("*").alias("size"))
