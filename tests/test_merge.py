@@ -7,6 +7,7 @@ import pytest
 from keyloom import cli
 from keyloom.errors import MergeInputError
 from keyloom.operators.merge import Merge, Source
+from keyloom.operators import similar
 from keyloom.operators.similar import closest
 from keyloom.plans import run
 from keyloom.plans.plan import MergePlan
@@ -129,6 +130,29 @@ def test_closest_at_other_cutoffs(spark):
             assert got.get(k, "") == "、".join(difflib.get_close_matches(k, [x for x in keys if x != k], n=2, cutoff=cutoff))
 
 
+def test_closest_of_numbers_compares_few(spark, monkeypatch):
+    """Numbers share most of their digits with most others; only near ones may be compared."""
+    keys = [str(i) for i in range(1, 1501)]
+    df, compared = spark.createDataFrame([(k,) for k in keys], "key string"), []
+
+    def counted(f):
+        def run(*a, **b):
+            pairs = f(*a, **b)
+            compared.append(pairs.count())
+            return pairs
+
+        return run
+
+    for name in ("shared_characters", "by_deletions"):
+        if hasattr(similar, name):
+            monkeypatch.setattr(similar, name, counted(getattr(similar, name)))
+    closest = similar.closest(df, df)
+    assert sum(compared) < 100 * len(keys)
+    got = {x.key: x.closest for x in closest.collect()}
+    for k in [*keys[:20], *keys[95:115], "999", "1000", "1001", "1111", "1222", "1500"]:
+        assert got.get(k, "") == "、".join(difflib.get_close_matches(k, [x for x in keys if x != k], n=3, cutoff=0.5))
+
+
 def test_unmatched_with_candidates_is_brute_force(spark):
     """The registered query's plan, on whole keys of two small sources."""
     a, b = ([f"{x}{i}" for i in range(n)] for x, n in (("张三a", 12), ("张三b", 9)))
