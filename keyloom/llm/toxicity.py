@@ -126,30 +126,29 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, z: float = 6.0, min_
     none = Model(np.zeros(0, np.int64), np.zeros(0), np.full(1, 40.0))
     if not top or not sum(map(len, rows)):
         return none
-    # features of too few rows go first, so that what follows is small
-    every = np.concatenate(rows).astype(np.int32, copy=False)
-    names = np.flatnonzero(np.bincount(every, minlength=1) >= min_rows)
-    place = np.full(int(every.max()) + 1, -1, np.int32)
-    place[names] = np.arange(len(names), dtype=np.int32)
-    column = place[every]
-    held = column >= 0
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])[held]
-    column = column[held]
-    del every, held, place
     target = (grades[:, None] > np.arange(top)[None, :]).astype(float)
+    share = target.mean(0)
+    # rows are counted one by one, as copies of them all would take most of the driver's memory
+    size = 1 + max(int(r.max()) for r in rows if len(r))
+    often, slope = np.zeros(size, np.int64), np.zeros(size)
+    for r, x in zip(rows, (share[None, :] - target).sum(1)):
+        often[r] += 1
+        slope[r] += x
+    l1 = z * np.sqrt(often * (share * (1 - share)).sum()) / n
+    # features of too few rows go first; one whose first gradient is under half its penalty won't be picked, and leaving it out keeps the fit small
+    picked = (often >= min_rows) & (np.abs(slope) / n > 0.5 * l1)
+    names, l1 = np.flatnonzero(picked), l1[picked]
+    place = (np.cumsum(picked) - 1).astype(np.int32)
+    found = [place[r[picked[r]]] for r in rows]
+    column = np.concatenate(found)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in found])
+    del often, slope, place, found
 
     def only(wanted: np.ndarray) -> None:
         nonlocal names, column, row
         kept = wanted[column]
         column, row, names = (np.cumsum(wanted, dtype=np.int32) - 1)[column[kept]], row[kept], names[wanted]
 
-    share = target.mean(0)
-    l1 = z * np.sqrt(np.bincount(column, minlength=len(names)) * (share * (1 - share)).sum()) / n
-    # a feature whose first gradient is under half its penalty won't be picked; leaving it out keeps the fit small
-    slope = np.abs(np.bincount(column, (share[None, :] - target).sum(1)[row], minlength=len(names))) / n
-    picked = slope > 0.5 * l1
-    l1 = l1[picked]
-    only(picked)
     w, _ = descend(row, column, n, len(names), target, l1, 0.0, steps)
     only(np.abs(w) > 1e-9)
     if not len(names):
@@ -174,10 +173,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], ["id", "label", "f", "n"])
 
     got = texts.select("id", "text", "label").mapInArrow(sparse, "id long, label int, f array<int>, n array<int>").toArrow()
+    # views of what was sent, chunk by chunk
+    y, f, n = got["label"].to_numpy(), [], []
+    for out, name in ((f, "f"), (n, "n")):
+        for chunk in got[name].chunks:
+            at, values = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+            out.extend(values[at[i] : at[i + 1]] for i in range(len(chunk)))
     order = np.argsort(got["id"].to_numpy(), kind="stable")
-    f, n, y = got["f"].combine_chunks(), got["n"].combine_chunks(), got["label"].to_numpy()
-    at, f, n = f.offsets.to_numpy(), f.values.to_numpy(), n.values.to_numpy()
-    rows, counts, toxic = [f[at[i] : at[i + 1]] for i in order], [n[at[i] : at[i + 1]] for i in order], (y[order] > 0).astype(int)
+    rows, counts, toxic = [f[i] for i in order], [n[i] for i in order], (y[order] > 0).astype(int)
     return fit_ordinal(rows, grades_of(rows, counts, toxic))
 
 

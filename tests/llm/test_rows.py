@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -365,3 +366,15 @@ def test_ordinal_thresholds_share_weights():
     predicted = (model.above(score) > 0.5).sum(1)
     assert (predicted == np.array(grades)).mean() > 0.9
 
+
+
+def test_ordinal_fit_takes_little_memory():
+    """Beside the rows, the fit holds the entries of features that may be picked, not copies of all."""
+    r = np.random.default_rng(4)
+    grades = (r.random(2000) < 0.1).astype(int)
+    rows = [np.unique(np.append(r.integers(0, 5000, 250), 6000 + r.integers(0, 9, 5) * g)).astype(np.int32) for g in grades]
+    tracemalloc.start()
+    model = toxicity.fit_ordinal(rows, grades)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.features) and most < 8 * sum(map(len, rows))
