@@ -12,7 +12,8 @@ Equal texts are one node from the start. A group of n texts gives at most n pair
 each pivot, so no group is expanded into all pairs. A group is settled once all its
 members are in one class; until then its other members, linked or not, meet more pivots,
 as many in each round as ``pivots`` says: of a large group of copies nearly all are then in
-one class. What is left goes to an exact prefix-filter join, so every pair that shares a
+one class. A round that settles few rows is the last, as its groups are of texts that
+are no near copies. What is left goes to an exact prefix-filter join, so every pair that shares a
 band is in one class, verified, or bound to be below the threshold. Rows of a crowded key
 meet its pivots only, so the adaptive skew join may split them.
 Sampling finds a pair at the threshold in a band with probability 0.64 and in one of
@@ -259,8 +260,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return met.select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long, ok boolean")
 
 
-def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of all members that can reach the threshold and aren't in one class, by an exact prefix filter.
+def prefix_pairs(left: DataFrame, sets: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of all members that share a band, can reach the threshold and aren't in one class, by an exact prefix filter.
 
     A set's shingles are put into one global order, rarest first. Of two sets at the
     threshold t, what they share weighs t of the heavier one and 2t / (1 + t) of the
@@ -314,13 +315,14 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     at = F.struct((-F.col("rest")).alias("at"), "e")
     in_order = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["e"])
     whole = firsts.groupBy(F.col("node").alias("m")).agg(in_order(at).alias("prefix"), in_order(F.when(F.col("short"), at)).alias("shorter"))
+    whole = whole.join(bands.select(F.col("node").alias("o"), "bands"), F.col("m") == F.col("o")).drop("o")
     firsts = firsts.join(whole, F.col("node") == F.col("m"))
 
     def lists(rows: DataFrame, side: str, prefix: str) -> DataFrame:
         sizes = rows.groupBy(F.col("e").alias("e_"), F.col("root").alias("r_")).agg(F.count("*").alias("size"))
         met = rows.join(sizes, (F.col("e") == F.col("e_")) & (F.col("root") == F.col("r_")))
         part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / LIST))
-        held = F.collect_list(F.struct("node", "w", "rest", F.col(prefix).alias("prefix"))).alias(f"{side}_held")
+        held = F.collect_list(F.struct("node", "w", "rest", "bands", F.col(prefix).alias("prefix"))).alias(f"{side}_held")
         return met.groupBy(F.col("e").alias(f"{side}_e"), F.col("root").alias(f"{side}_root"), part.alias("part")).agg(held, F.max("rest").alias(f"{side}_rest"), F.min("w").alias(f"{side}_w")).drop("part")
 
     c = threshold / (1 + threshold)
@@ -330,6 +332,7 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     fits = (
         f"(x.w > y.w OR x.w = y.w AND x.node > y.node) AND y.w >= {threshold} * x.w - 1e-6"
         f" AND least(x.rest, y.rest) >= {c} * (x.w + y.w) - 1e-6 AND array_intersect(x.prefix, y.prefix)[0] = x_e"
+        " AND arrays_overlap(x.bands, y.bands)"
     )
     pairs = F.expr(f"flatten(transform(y_held, y -> transform(filter(x_held, x -> {fits}), x -> struct(greatest(x.node, y.node) AS a, least(x.node, y.node) AS b))))")
     # the larger number first, as in the rounds
@@ -337,10 +340,10 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float) -> DataFram
 
 
 def one_key(left: DataFrame) -> DataFrame:
-    """(k, node, root) with the most crowded key of each text."""
+    """(k, node, root, weight) with the most crowded key of each text."""
     sizes = left.groupBy(F.col("k").alias("key_")).agg(F.count("*").alias("size"))
     met = left.join(sizes, F.col("k") == F.col("key_"))
-    return met.groupBy("node", "root").agg(F.max(F.struct("size", "k")).alias("m")).select("m.k", "node", "root")
+    return met.groupBy("node", "root", "weight").agg(F.max(F.struct("size", "k")).alias("m")).select("m.k", "node", "root", "weight")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 12, rows: int = 2, pivots: tuple[int, ...] = (1, 8, 8, 8)) -> DataFrame:
@@ -359,32 +362,29 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     crowded = single.join(shared, F.col("k") == F.col("key_")).select("node").distinct().withColumnRenamed("node", "n")
     every, members = members, staged(members.join(crowded, F.col("node") == F.col("n"), "left_semi"), "crowded")
     discard(every)
-    keyed = members.select("node", F.explode(F.array_distinct("keys")).alias("k"))
+    keyed = members.select("node", "weight", F.explode(F.array_distinct("keys")).alias("k"))
     crowd = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("key_"))
-    left = staged(keyed.join(crowd, F.col("k") == F.col("key_")).select("k", "node", F.col("node").alias("root")), "left")
-    light = staged(members.select("node", "weight", F.slice("keys", 1, bands).alias("bands")), "light")
+    left = staged(keyed.join(crowd, F.col("k") == F.col("key_")).select("k", "node", F.col("node").alias("root"), "weight"), "left")
     edges, done = None, None
     sets = staged(weighted_sets(docs, members, id_col, text_col, idf), "sets")
-    for n in range(len(pivots) + 1):
+    n, rows_left = 0, left.count()
+    while True:
         last = n == len(pivots)
         if last:
-            pairs = prefix_pairs(left, sets, threshold)
+            pairs = prefix_pairs(left, sets, members.select("node", F.slice("keys", 1, bands).alias("bands")), threshold)
         else:
             # first all keys; then each text's most crowded one, as what is left of large groups shares most keys
             keys = left if not n else one_key(left)
             # by a hash that changes, so that they aren't always the same texts; the limit is applied before the exchange too
             nth = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64(F.lit(n), "node"), "node"))
-            heads = staged(keys.withColumn("nth", nth).where(F.col("nth") <= pivots[n]).select(F.col("k").alias("key_"), F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivots")
-            met = keys.join(heads, F.col("k") == F.col("key_")).where("node <> pivot AND root <> pivot_root")
+            heads = keys.withColumn("nth", nth).where(F.col("nth") <= pivots[n])
+            heads = staged(heads.select(F.col("k").alias("key_"), F.col("node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("weight").alias("pivot_weight")), "pivots")
+            # a bound, not an estimate: the smaller weight is the most that two sets share
+            fits = F.least("weight", "pivot_weight") >= threshold * F.greatest("weight", "pivot_weight")
+            met = keys.join(heads, F.col("k") == F.col("key_")).where("node <> pivot AND root <> pivot_root").where(fits)
             pairs = met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        x = light.select(F.col("node").alias("n"), F.col("weight").alias("wa"), F.col("bands").alias("ka"))
-        y = light.select(F.col("node").alias("m"), F.col("weight").alias("wb"), F.col("bands").alias("kb"))
-        pairs = pairs.join(x, F.col("a") == F.col("n")).join(y, F.col("b") == F.col("m"))
-        # a bound, not an estimate: the smaller weight is the most that two sets share
-        fits = F.least("wa", "wb") >= threshold * F.greatest("wa", "wb")
-        pairs = pairs.where(fits & F.arrays_overlap("ka", "kb")) if last else pairs.where(fits)
         judged = staged(verified(staged(pairs.select("a", "b"), "pairs"), sets, threshold), "judged")
         new = judged.where("ok").select("a", "b")
         edges = new if edges is None else edges.unionByName(new)
@@ -395,12 +395,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         # the first pivots are settled; a group goes on until all its other members are in one class
         roots = components(edges).select(F.col("node").alias("n"), F.col("root").alias("new_root"))
         rest = left if n else left.join(heads, (F.col("k") == F.col("key_")) & (F.col("node") == F.col("pivot")), "left_anti")
-        left = rest.join(roots, F.col("node") == F.col("n"), "left").select("k", "node", F.coalesce("new_root", "node").alias("root"))
+        left = rest.join(roots, F.col("node") == F.col("n"), "left").select("k", "node", F.coalesce("new_root", "node").alias("root"), "weight")
         left = staged(left, "labelled")
         mixed = left.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("k").alias("key_"))
-        left = staged(left.join(mixed, F.col("k") == F.col("key_")).select("k", "node", "root"), "left")
-        if not left.limit(1).count():
+        left = staged(left.join(mixed, F.col("k") == F.col("key_")).select("k", "node", "root", "weight"), "left")
+        before, rows_left = rows_left, left.count()
+        if not rows_left:
             break
+        n = n + 1 if not n or rows_left < 0.9 * before else len(pivots)
     edges = staged(edges.distinct(), "links")
     roots = components(edges).select(F.col("node").alias("n"), "root")
     links = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("l")).agg(F.count("*").alias("links"))

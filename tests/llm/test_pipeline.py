@@ -173,3 +173,21 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     assert Counter(x.doc_id for x in out) == times
     assert len(queries.QUERIES) == 10
+
+
+def test_fruitless_rounds_of_pivots_end(spark, monkeypatch):
+    """Texts that share a passage but are no near copies go to the exact join after one round of several pivots."""
+    r = random.Random(8)
+    passage = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    texts = [" ".join(passage + [f"v{r.randrange(10**6)}" for _ in range(60)]) for _ in range(80)]
+    texts += [texts[3] + " more", texts[50] + " and more"]
+    names, real = [], neardup.staged
+
+    def told(df, name):
+        names.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(neardup, "staged", told)
+    got = {x.doc_id: x.class_id for x in neardup.classes(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: {80: 3, 81: 50}.get(i, i) for i in range(82)}
+    assert names.count("judged") == 3
