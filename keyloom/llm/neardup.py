@@ -14,7 +14,8 @@ members are in one class; until then its other members, linked or not, meet more
 as many in each round as ``pivots`` says: of a large group of copies nearly all are then in
 one class. A round that settles few rows is the last, as its groups are of texts that
 are no near copies. What is left goes to an exact prefix-filter join, so every pair that shares a
-band is in one class, verified, or bound to be below the threshold. Rows of a crowded key
+band is in one class, verified, or bound to be below the threshold. Of its pairs each text's
+nearest are verified first, then those that still lie between two classes. Rows of a crowded key
 meet its pivots only, so the adaptive skew join may split them.
 Sampling finds a pair at the threshold in a band with probability 0.64 and in one of
 twelve with 0.999995; tests measure recall of classes against brute force.
@@ -55,6 +56,10 @@ CACHE_WORDS = 400_000
 PLACES = 1 << 20
 #: Members of one class in one list of the exact join.
 LIST = 2000
+#: Buckets of a text's shingles by which the exact join bounds what two texts share.
+SPREAD = 256
+#: Partners of a text that the exact join's pairs are verified with first.
+NEAREST = 4
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
 _hashes: dict[str, int] = {}
@@ -261,7 +266,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def prefix_pairs(left: DataFrame, sets: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of all members that share a band, can reach the threshold and aren't in one class, by an exact prefix filter.
+    """(a, b, most) of all members that share a band, can reach the threshold and aren't in one class, by an exact prefix filter.
 
     A set's shingles are put into one global order, rarest first. Of two sets at the
     threshold t, what they share weighs t of the heavier one and 2t / (1 + t) of the
@@ -271,7 +276,10 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, bands: DataFrame, threshold:
     it is so much of both that they are near copies, which then are in one class: members
     of one class are kept in a list, and what a list can share at most is looked at before
     its members are. Frequencies are counted in hashed buckets; they only decide on the
-    order, so nothing depends on their precision.
+    order, so nothing depends on their precision. Two texts share at most the lesser weight
+    of each bucket of their shingles (``most``, as a part of both weights), which tells
+    variants of one text apart that are not quite near copies, of which the prefixes can't
+    tell much.
     """
     nodes = left.groupBy("node").agg(F.min("root").alias("root")).withColumnRenamed("node", "n")
     wanted = staged(sets.join(nodes, F.col("node") == F.col("n")).select("node", "root", "packed"), "wanted")
@@ -312,17 +320,26 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, bands: DataFrame, threshold:
     shared = firsts.groupBy(F.col("e").alias("e_")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("short").alias("any")).where("lo < hi AND any").select("e_")
     firsts = staged(firsts.join(shared, F.col("e") == F.col("e_")).select("node", "root", "w", "e", "rest", "short"), "shared")
     # a text's shingles of these in the global order, to tell a pair's first common one; lists of a class are cut into bounded ones
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.bincount(e % SPREAD, w, SPREAD) for e, w in map(unpacked, batch.column(1).to_pylist())]
+            ends = np.arange(0, len(rows) * SPREAD + 1, SPREAD)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0), *rows]), pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["o", "spread"])
+
     at = F.struct((-F.col("rest")).alias("at"), "e")
     in_order = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["e"])
     whole = firsts.groupBy(F.col("node").alias("m")).agg(in_order(at).alias("prefix"), in_order(F.when(F.col("short"), at)).alias("shorter"))
     whole = whole.join(bands.select(F.col("node").alias("o"), "bands"), F.col("m") == F.col("o")).drop("o")
+    whole = whole.join(wanted.select("node", "packed").mapInArrow(spread, "o long, spread array<float>"), F.col("m") == F.col("o")).drop("o")
     firsts = firsts.join(whole, F.col("node") == F.col("m"))
 
     def lists(rows: DataFrame, side: str, prefix: str) -> DataFrame:
         sizes = rows.groupBy(F.col("e").alias("e_"), F.col("root").alias("r_")).agg(F.count("*").alias("size"))
         met = rows.join(sizes, (F.col("e") == F.col("e_")) & (F.col("root") == F.col("r_")))
         part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / LIST))
-        held = F.collect_list(F.struct("node", "w", "rest", "bands", F.col(prefix).alias("prefix"))).alias(f"{side}_held")
+        held = F.collect_list(F.struct("node", "w", "rest", "bands", "spread", F.col(prefix).alias("prefix"))).alias(f"{side}_held")
         return met.groupBy(F.col("e").alias(f"{side}_e"), F.col("root").alias(f"{side}_root"), part.alias("part")).agg(held, F.max("rest").alias(f"{side}_rest"), F.min("w").alias(f"{side}_w")).drop("part")
 
     c = threshold / (1 + threshold)
@@ -334,9 +351,25 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, bands: DataFrame, threshold:
         f" AND least(x.rest, y.rest) >= {c} * (x.w + y.w) - 1e-6 AND array_intersect(x.prefix, y.prefix)[0] = x_e"
         " AND arrays_overlap(x.bands, y.bands)"
     )
-    pairs = F.expr(f"flatten(transform(y_held, y -> transform(filter(x_held, x -> {fits}), x -> struct(greatest(x.node, y.node) AS a, least(x.node, y.node) AS b))))")
+    most = "aggregate(zip_with(x.spread, y.spread, (p, q) -> least(p, q)), 0D, (s, v) -> s + v) / (x.w + y.w)"
     # the larger number first, as in the rounds
-    return met.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    found = f"transform(filter(x_held, x -> {fits}), x -> struct(greatest(x.node, y.node) AS a, least(x.node, y.node) AS b, {most} AS most))"
+    pairs = F.expr(f"flatten(transform(y_held, y -> filter({found}, z -> z.most >= {c - 1e-6})))")
+    return met.select(F.explode(pairs).alias("p")).select("p.a", "p.b", "p.most").groupBy("a", "b").agg(F.max("most").alias("most"))
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """(a, b) of each text's pairs that may share most, a few for each text."""
+    ends = [pairs.withColumn("nth", F.row_number().over(Window.partitionBy(c).orderBy(F.desc("most"), "a", "b"))).where(F.col("nth") <= NEAREST) for c in "ab"]
+    return ends[0].select("a", "b").union(ends[1].select("a", "b")).distinct()
+
+
+def between(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b) of pairs that the edges leave in two classes."""
+    roots = components(edges)
+    for c in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root")), F.col(c) == F.col(f"{c}_node"), "left")
+    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
 
 def one_key(left: DataFrame) -> DataFrame:
@@ -385,7 +418,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             pairs = met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        judged = staged(verified(staged(pairs.select("a", "b"), "pairs"), sets, threshold), "judged")
+        pairs = staged(pairs, "pairs")
+        if last:
+            # members of a large group have many pairs, of which few are enough to make it one class
+            near = staged(nearest(pairs), "near")
+            new = staged(verified(near, sets, threshold), "nearest").where("ok").select("a", "b")
+            edges = new if edges is None else edges.unionByName(new)
+            pairs = staged(between(pairs.join(near, ["a", "b"], "left_anti"), edges), "between")
+        judged = staged(verified(pairs, sets, threshold), "judged")
         new = judged.where("ok").select("a", "b")
         edges = new if edges is None else edges.unionByName(new)
         if last:

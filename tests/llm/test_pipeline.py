@@ -191,3 +191,27 @@ def test_fruitless_rounds_of_pivots_end(spark, monkeypatch):
     got = {x.doc_id: x.class_id for x in neardup.classes(docs(spark, list(enumerate(texts)))).collect()}
     assert got == {i: {80: 3, 81: 50}.get(i, i) for i in range(82)}
     assert names.count("judged") == 3
+
+
+def test_pairs_of_a_large_group_at_the_threshold(spark, monkeypatch):
+    """Variants of one text, about as far from each other as the threshold, are classed with a few verified pairs each."""
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(200):
+        copy = list(base)
+        for at in r.sample(range(150), r.choice((1, 2, 2))):
+            copy[at] = f"v{r.randrange(40)}"
+        rows.append((i, " ".join(copy)))
+    idf = neardup.inverse_frequencies(neardup.document_frequencies(docs(spark, rows), "text"))
+    expected, links = brute_classes(rows, idf)
+    counts, real = [], neardup.verified
+
+    def counted(pairs, *args):
+        counts.append(pairs.count())
+        return real(pairs, *args)
+
+    monkeypatch.setattr(neardup, "verified", counted)
+    # by the exact join alone
+    assert {x.doc_id: x.class_id for x in neardup.classes(docs(spark, rows), pivots=()).collect()} == expected
+    assert 0 < sum(counts) < 8 * len(rows) < links
