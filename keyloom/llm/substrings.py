@@ -43,14 +43,14 @@ from pyspark.sql import functions as F
 
 from .anchors import Buffer, U, mix
 from .common import discard, staged
-from .suffixes import repeated_windows
+from .suffixes import repeated_flags
 
 #: Bytes of a string that goes, and of one that is counted.
 LENGTH, PASSAGE = 400, 280
 #: An anchor is among the first bytes of a window, and this many bytes from there on are its content.
 CONTENT = 80
 #: Bytes of text a hashing pass and a suffix array hold at once.
-PASS_BYTES, SHARD_BYTES = 1 << 20, 3 << 17
+PASS_BYTES, SHARD_BYTES = 1 << 20, 5 << 13
 #: Distinct contexts of one anchor hash in one shard; each window of an anchor with more is sent to the merge.
 SHARD_CONTEXTS = 5000
 #: The table of mixed anchor hashes is broadcast if it has at most this many rows; a larger one is joined by a shuffle.
@@ -146,25 +146,25 @@ def shard_windows(batches: Iterator[pa.RecordBatch], lengths: tuple[int, int]) -
 
     def out() -> Iterator[pa.RecordBatch]:
         # contexts of a text overlap, so only the windows of each one's own run count
-        found = repeated_windows([x[2] for x in held.values()], [x[1] for x in held.values()], *lengths)
+        starts, found = repeated_flags([x[2] for x in held.values()], [x[1] for x in held.values()], *lengths)
         # the first of two equal ones tells
-        told = [(i, h, c, x) for i, ((h, c, place), x) in enumerate(held.items()) if not place]
-        dealt = [x for x in told if x[3][0] >= 0]
+        hs, cs, places = np.array(list(held), np.int64).T
+        dealt = [(h, c, x) for (h, c, place), x in held.items() if not place and x[0] >= 0]
         buffer = Buffer([x[2] for *_, x in dealt]) if dealt else None
         for length, flags in zip(lengths, found):
-            cols: list[list] = [[] for _ in range(4)]
-            for i, h, c, _ in told:
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], flags[i], [False]]).astype(np.int8))).tolist()
-                for col, v in zip(cols, ([h] * (len(edge) // 2), [c] * (len(edge) // 2), edge[::2], edge[1::2])):
-                    col.extend(v)
-            n = len(cols[0])
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((cols[0], cols[1], [length] * n, cols[2], cols[3], [None] * n, [None] * n), WINDOWS.types)], WINDOWS.names)
-            fit = [max(0, min(x[3][1], len(x[3][2]) - length + 1)) for x in dealt]
+            edge = np.flatnonzero(np.diff(flags, prepend=False, append=False))
+            text = np.searchsorted(starts, edge[::2], "right") - 1
+            tells = places[text] == 0
+            text, lo, hi = text[tells], edge[::2][tells], edge[1::2][tells]
+            arrays = (hs[text], cs[text], np.full(len(text), length), lo - starts[text], hi - starts[text])
+            empty = [pa.nulls(len(text), pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(arrays, WINDOWS.types)] + empty, WINDOWS.names)
+            fit = [max(0, min(x[2][1], len(x[2][2]) - length + 1)) for x in dealt]
             if any(fit):
                 lo = np.concatenate([np.arange(n) for n in fit])
                 at = np.repeat(buffer.starts, fit) + lo
                 d1, d2 = (buffer.hashes(at, at + length, lane).view(np.int64) for lane in (0, 1))
-                ends = [np.repeat(np.array([x[i] for x in dealt], np.int64), fit) for i in (1, 2)]
+                ends = [np.repeat(np.array([x[i] for x in dealt], np.int64), fit) for i in (0, 1)]
                 arrays = (*ends, np.full(len(lo), length), lo, lo + 1, d1, d2)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, WINDOWS.types)], WINDOWS.names)
         held.clear()

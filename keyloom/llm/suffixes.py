@@ -4,48 +4,70 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Symbols that the first sort looks at; nine bits each.
+#: Symbols that are compared at once; nine bits each.
 FIRST = 7
+#: Bits of a place where a key holds three ranks and its own place, and of a rank where a key holds three.
+PLACE_BITS, RANK_BITS = 16, 21
+U = np.uint64
+
+
+def in_order(key: np.ndarray, at: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, and their places; in a small array the places ride in the keys, which sorts faster than an argsort."""
+    if small:
+        key = np.sort(key << U(PLACE_BITS) | at.view(U))
+        return key >> U(PLACE_BITS), (key & U((1 << PLACE_BITS) - 1)).view(np.int64)
+    order = np.argsort(key)
+    return key[order], at[order]
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Suffix order of symbols from 0 to 510.
 
-    The first sort is by FIRST symbols. Each round doubles the depth by sorting the
-    members of groups that are still tied by the rank of the suffix ``depth`` further on;
-    groups of one are never touched again.
+    The first sort is by a few symbols. Each round trebles the depth by sorting the
+    members of groups that are still tied by the ranks of the suffixes ``depth`` and twice
+    ``depth`` further on, which with their own rank fit into one key (in a very large
+    array, two ranks do, and the depth doubles); groups of one are never touched again.
     """
     n = len(symbols)
     if n < 2:
         return np.arange(n, dtype=np.int32)
-    padded = np.zeros(n + FIRST, np.int64)
-    padded[:n] = symbols.astype(np.int64) + 1  # 0 is the end
-    key = np.zeros(n, np.int64)
-    for i in range(FIRST):
-        key <<= 9
+    small = n < 1 << PLACE_BITS
+    ahead, bits = (2, PLACE_BITS) if small else (2, RANK_BITS) if n < 1 << RANK_BITS else (1, 31)
+    # numbered as they occur, which mostly needs a byte each; 0 is the end
+    codes = np.cumsum(np.bincount(symbols) > 0)
+    wide = int(codes[-1]).bit_length()
+    depth = (64 - PLACE_BITS if small else 63) // wide
+    padded = np.zeros(n + depth, U)
+    padded[:n] = codes[symbols]
+    key = padded[:n].copy()
+    for i in range(1, depth):
+        key <<= U(wide)
         key |= padded[i : n + i]
-    sa = np.argsort(key).astype(np.int32)
-    key = key[sa]
-    new = np.ones(n, bool)
-    np.not_equal(key[1:], key[:-1], out=new[1:])
-    rank = np.empty(n + 1, np.int32)
-    rank[n] = -1
-    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
-    tied = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in sa
-    depth = FIRST
+    key, sa = in_order(key, np.arange(n), small)
+    new = np.ones(n + 1, bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:-1])
+    heads = np.flatnonzero(new)
+    # from 1 on; 0 is the end
+    rank = np.zeros(n + 1, U)
+    rank[sa] = np.repeat((heads[:-1] + 1).view(U), np.diff(heads))
+    tied = np.flatnonzero(~(new[:-1] & new[1:]))  # places in sa
     while len(tied):
         at = sa[tied]
-        key = rank[at].astype(np.int64) << 32
-        key |= rank[np.minimum(at + depth, n)] + 1
-        order = np.argsort(key)
-        at, key = at[order], key[order]
+        key = rank[at]
+        there = at
+        for _ in range(ahead):
+            there = np.minimum(there + depth, n)
+            key <<= U(bits)
+            key |= rank[there]
+        key, at = in_order(key, at, small)
         sa[tied] = at
-        new = np.ones(len(at), bool)
-        np.not_equal(key[1:], key[:-1], out=new[1:])
-        rank[at] = tied[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-        tied = tied[~(new & np.append(new[1:], True))]
-        depth *= 2
-    return sa
+        new = np.ones(len(at) + 1, bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:-1])
+        heads = np.flatnonzero(new)
+        rank[at] = np.repeat((tied[heads[:-1]] + 1).view(U), np.diff(heads))
+        tied = tied[~(new[:-1] & new[1:])]
+        depth *= 1 + ahead
+    return sa.astype(np.int32)
 
 
 def common_prefixes(symbols: np.ndarray, sa: np.ndarray) -> np.ndarray:
@@ -79,7 +101,13 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray) -> np.ndarray:
         lanes = lanes[block[x[lanes]] == block[y[lanes]]]
         x[lanes] += FIRST
         y[lanes] += FIRST
-    lanes = np.arange(len(at))
+    # where two blocks part, their highest unlike bits tell how many symbols still agree; blocks past the end are looked at one by one
+    inner = np.maximum(x, y) < tail
+    apart = block[x] ^ block[y]
+    agree = sum((apart < 1 << 9 * i).astype(np.int64) for i in range(1, FIRST)) * inner
+    x += agree
+    y += agree
+    lanes = np.flatnonzero(~inner)
     while len(lanes):
         here = lanes[np.maximum(x[lanes], y[lanes]) < n]
         lanes = here[symbols[x[here]] == symbols[y[here]]]
@@ -91,26 +119,39 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return out[last] - (place - last)
 
 
-def repeated_windows(texts: list[bytes], windows: list[int], *lengths: int) -> list[list[np.ndarray]]:
-    """For each length, and each text, whether the string of that length at each of its window starts also is at another window start.
+def repeated_flags(texts: list[bytes], windows: list[int], *lengths: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each text starts in a buffer with a free place after each, and for each length a flag for each place of the buffer.
 
-    A text has so many window starts at its begin as ``windows`` says (fewer if a string doesn't fit).
+    The flag says whether the string of that length at a window start also is at another window start. A text has so
+    many window starts at its begin as ``windows`` says (fewer if a string doesn't fit).
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     # symbol 0 ends each text, so no window of bytes matches across an end
-    symbols = np.zeros(int(sizes.sum()) + len(texts), np.int16)
-    counts = np.zeros(len(symbols), bool)
-    starts = (np.cumsum(sizes + 1) - sizes - 1).tolist()
-    for s, t, n in zip(starts, texts, windows):
-        symbols[s : s + len(t)] = np.frombuffer(t, np.uint8).astype(np.int16) + 1
-        counts[s : s + min(n, len(t))] = True
+    symbols = np.frombuffer(b"".join(x for t in texts for x in (t, b"\0")), np.uint8).astype(np.int16)
+    symbols += 1
+    ends = np.cumsum(sizes + 1) - 1
+    symbols[ends] = 0
+    starts = ends - sizes
+    own = np.minimum(np.array(windows, np.int64), sizes)
+    # bytes left at each window start
+    at = np.repeat(starts - np.cumsum(own) + own, own) + np.arange(own.sum())
+    left = np.zeros(len(symbols), np.int64)
+    left[at] = np.repeat(ends, own) - at
     sa = suffix_array(symbols)
-    prefix, counts = common_prefixes(symbols, sa)[sa], counts[sa]
+    prefix = common_prefixes(symbols, sa)[sa]
+    counted = np.flatnonzero(left[sa] > 0)
+    at = sa[counted]
     out = []
     for n in lengths:
         # suffixes with one prefix of that length
-        group = np.cumsum(prefix < n) - 1
+        group = np.cumsum(prefix < n)[counted]
         found = np.zeros(len(symbols), bool)
-        found[sa] = counts & (np.bincount(group, counts) > 1)[group] if len(group) else counts
-        out.append([found[s : s + max(0, min(w, len(t) - n + 1))] for s, t, w in zip(starts, texts, windows)])
-    return out
+        found[at] = (np.bincount(group) > 1)[group] & (left[at] >= n) if len(group) else False
+        out.append(found)
+    return starts, out
+
+
+def repeated_windows(texts: list[bytes], windows: list[int], *lengths: int) -> list[list[np.ndarray]]:
+    """For each length, and each text, the flags of its window starts."""
+    starts, found = repeated_flags(texts, windows, *lengths)
+    return [[x[s : s + max(0, min(w, len(t) - n + 1))] for s, t, w in zip(starts.tolist(), texts, windows)] for n, x in zip(lengths, found)]

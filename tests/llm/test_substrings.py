@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from keyloom.llm import substrings
+from keyloom.llm import substrings, suffixes
 from keyloom.llm.anchors import Buffer
 from keyloom.llm.suffixes import common_prefixes, repeated_windows, suffix_array
 
@@ -27,6 +27,24 @@ def test_suffix_array_and_prefixes():
             assert p[at] == k
 
 
+def test_suffix_arrays_of_all_sizes(monkeypatch):
+    """Keys of three ranks and a place, of three ranks and of two give one order, and few sorts find long repeats."""
+    r = random.Random(5)
+    text = bytes(r.randrange(97, 123) for _ in range(440))
+    long = np.array([c + 1 for i in range(3) for c in (*text[i:], -1)], np.int16)
+    sorts, real = [], suffixes.in_order
+    monkeypatch.setattr(suffixes, "in_order", lambda *args: sorts.append(args[2]) or real(*args))
+    for place_bits, rank_bits, most in ((16, 21, 5), (0, 21, 5), (0, 2, 8)):
+        monkeypatch.setattr(suffixes, "PLACE_BITS", place_bits)
+        monkeypatch.setattr(suffixes, "RANK_BITS", rank_bits)
+        sorts.clear()
+        assert suffix_array(long).tolist() == sorted(range(len(long)), key=lambda i: long[i:].tolist())
+        assert 3 < len(sorts) <= most and set(sorts) == {place_bits > 0}
+        for _ in range(50):
+            s = np.array([r.randrange(r.choice([1, 3, 511])) for _ in range(r.randrange(60))], np.int16)
+            assert suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
 def test_repeated_windows():
     r = random.Random(3)
     for _ in range(150):
