@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space splits words in the quality rules and in the mixer.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: A query's shuffle files go when it ends (Spark 4.1); else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,11 +32,26 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/keyloom/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Queries that are built and run in here leave no shuffle files; for those whose result isn't asked for twice."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with passing(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path  # for ``discard``
     return out
@@ -64,3 +83,8 @@ def discard(*frames: DataFrame) -> None:
     """Delete the folders of ``staged`` tables that nothing reads any more."""
     for df in frames:
         remove(df.sparkSession, df._staged)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: only then do tables that finished queries broadcast leave it and the executors."""
+    spark._jvm.System.gc()

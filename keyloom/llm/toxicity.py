@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import passing
+
 #: Hashed features; the model has this many weights whatever the corpus.
 BITS = 18
 WORD = re.compile(r"[^\W_]+")
@@ -172,16 +174,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             found = [features(t, cache) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], ["id", "label", "f", "n"])
 
-    got = texts.select("id", "text", "label").mapInArrow(sparse, "id long, label int, f array<int>, n array<int>").toArrow()
+    with passing(docs.sparkSession):
+        got = texts.select("id", "text", "label").mapInArrow(sparse, "id long, label int, f array<int>, n array<int>").toArrow()
     # views of what was sent, chunk by chunk
-    y, f, n = got["label"].to_numpy(), [], []
+    y, f, n, values = got["label"].to_numpy(), [], [], None
     for out, name in ((f, "f"), (n, "n")):
         for chunk in got[name].chunks:
             at, values = chunk.offsets.to_numpy(), chunk.values.to_numpy()
             out.extend(values[at[i] : at[i + 1]] for i in range(len(chunk)))
     order = np.argsort(got["id"].to_numpy(), kind="stable")
     rows, counts, toxic = [f[i] for i in order], [n[i] for i in order], (y[order] > 0).astype(int)
-    return fit_ordinal(rows, grades_of(rows, counts, toxic))
+    model = fit_ordinal(rows, grades_of(rows, counts, toxic))
+    # else Arrow keeps what it was sent for later tables
+    del got, f, n, values, rows, counts
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def grades_of(rows: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:

@@ -34,6 +34,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_on_the_driver_and_by_rounds(spark):
+    """Few edges take few queries, however long their chains; more are solved by joins, with the same result."""
+    r = random.Random(2)
+    order = list(range(300))
+    r.shuffle(order)
+    edges = [*zip(order[:200], order[1:200]), *((r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)), (7, 7)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(group, small):
+        spark.sparkContext.setJobGroup(group, group)
+        got = {x.node: x.root for x in components(table, small).collect()}
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return got, len(tracker.getJobIdsForGroup(group))
+
+    (few, n_few), (many, n_many) = jobs("on the driver", len(edges)), jobs("by rounds", len(edges) - 1)
+    assert few == many and len(set(few[x] for x in order[:200])) == 1 and few[order[0]] == min(order[:200])
+    assert n_few <= 6 < n_many
+
+
 def brute_classes(rows, idf):
     sets = {}
     for i, text in rows:
