@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import mix
-from .common import discard, free_names, staged
+from .common import discard, free_names, passing, staged, tidy
 from .components import components
 
 WORD = re.compile(r"[^\W_]+")
@@ -90,7 +90,8 @@ def document_frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["b", "n"])
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    with passing(docs.sparkSession):
+        found = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(VOCABULARY + 1, np.int64)
     out[found["b"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -176,6 +177,17 @@ def jaccard(a: bytes, b: bytes) -> float:
     return float(np.minimum(wx, wy).sum() / most) if most else 0.0
 
 
+def spreads(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of each set by bucket, in units rounded up to two bytes, and the unit, 1 where they fit; the lists repeat them for each shingle."""
+    rows = np.zeros((len(sets), SPREAD))
+    for row, (e, w) in zip(rows, map(unpacked, sets)):
+        row += np.bincount(e % SPREAD, w, SPREAD)
+    units = np.maximum(1.0, rows.max(1, initial=0) / 32767)
+    # what rounding takes from a quotient at the limit is put on the unit
+    units[units > 1] *= 1 + 1e-9
+    return np.ceil(rows / units[:, None]).astype(np.int16), units
+
+
 def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
@@ -292,7 +304,8 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, bands: DataFrame, threshold:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["b", "n"])
 
-    found = wanted.select("packed").mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    with passing(wanted.sparkSession):
+        found = wanted.select("packed").mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(PLACES, np.int32)
     often[found["b"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
     shared = left.sparkSession.sparkContext.broadcast(often)
@@ -318,28 +331,30 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, bands: DataFrame, threshold:
 
     # most are of one text; only those by which two classes can meet are looked at further
     shared = firsts.groupBy(F.col("e").alias("e_")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("short").alias("any")).where("lo < hi AND any").select("e_")
-    firsts = staged(firsts.join(shared, F.col("e") == F.col("e_")).select("node", "root", "w", "e", "rest", "short"), "shared")
+    every, firsts = firsts, staged(firsts.join(shared, F.col("e") == F.col("e_")).select("node", "root", "w", "e", "rest", "short"), "shared")
+    discard(every)
+    read = wanted, firsts
     # a text's shingles of these in the global order, to tell a pair's first common one; lists of a class are cut into bounded ones
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.bincount(e % SPREAD, w, SPREAD) for e, w in map(unpacked, batch.column(1).to_pylist())]
-            ends = np.arange(0, len(rows) * SPREAD + 1, SPREAD)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0), *rows]), pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["o", "spread"])
+            rows, units = spreads(batch.column(1).to_pylist())
+            ends = np.arange(0, rows.size + 1, SPREAD)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rows.ravel(), pa.int16()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(units, pa.float64())], ["o", "spread", "unit"])
 
     at = F.struct((-F.col("rest")).alias("at"), "e")
     in_order = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["e"])
     whole = firsts.groupBy(F.col("node").alias("m")).agg(in_order(at).alias("prefix"), in_order(F.when(F.col("short"), at)).alias("shorter"))
     whole = whole.join(bands.select(F.col("node").alias("o"), "bands"), F.col("m") == F.col("o")).drop("o")
-    whole = whole.join(wanted.select("node", "packed").mapInArrow(spread, "o long, spread array<float>"), F.col("m") == F.col("o")).drop("o")
+    whole = whole.join(wanted.select("node", "packed").mapInArrow(spread, "o long, spread array<short>, unit double"), F.col("m") == F.col("o")).drop("o")
     firsts = firsts.join(whole, F.col("node") == F.col("m"))
 
     def lists(rows: DataFrame, side: str, prefix: str) -> DataFrame:
         sizes = rows.groupBy(F.col("e").alias("e_"), F.col("root").alias("r_")).agg(F.count("*").alias("size"))
         met = rows.join(sizes, (F.col("e") == F.col("e_")) & (F.col("root") == F.col("r_")))
         part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / LIST))
-        held = F.collect_list(F.struct("node", "w", "rest", "bands", "spread", F.col(prefix).alias("prefix"))).alias(f"{side}_held")
+        held = F.collect_list(F.struct("node", "w", "rest", "bands", "spread", "unit", F.col(prefix).alias("prefix"))).alias(f"{side}_held")
         return met.groupBy(F.col("e").alias(f"{side}_e"), F.col("root").alias(f"{side}_root"), part.alias("part")).agg(held, F.max("rest").alias(f"{side}_rest"), F.min("w").alias(f"{side}_w")).drop("part")
 
     c = threshold / (1 + threshold)
@@ -351,11 +366,13 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, bands: DataFrame, threshold:
         f" AND least(x.rest, y.rest) >= {c} * (x.w + y.w) - 1e-6 AND array_intersect(x.prefix, y.prefix)[0] = x_e"
         " AND arrays_overlap(x.bands, y.bands)"
     )
-    most = "aggregate(zip_with(x.spread, y.spread, (p, q) -> least(p, q)), 0D, (s, v) -> s + v) / (x.w + y.w)"
+    most = "aggregate(zip_with(x.spread, y.spread, (p, q) -> least(p * x.unit, q * y.unit)), 0D, (s, v) -> s + v) / (x.w + y.w)"
     # the larger number first, as in the rounds
     found = f"transform(filter(x_held, x -> {fits}), x -> struct(greatest(x.node, y.node) AS a, least(x.node, y.node) AS b, {most} AS most))"
     pairs = F.expr(f"flatten(transform(y_held, y -> filter({found}, z -> z.most >= {c - 1e-6})))")
-    return met.select(F.explode(pairs).alias("p")).select("p.a", "p.b", "p.most").groupBy("a", "b").agg(F.max("most").alias("most"))
+    out = staged(met.select(F.explode(pairs).alias("p")).select("p.a", "p.b", "p.most").groupBy("a", "b").agg(F.max("most").alias("most")), "met")
+    discard(*read)
+    return out
 
 
 def nearest(pairs: DataFrame) -> DataFrame:
@@ -395,12 +412,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     crowded = single.join(shared, F.col("k") == F.col("key_")).select("node").distinct().withColumnRenamed("node", "n")
     every, members = members, staged(members.join(crowded, F.col("node") == F.col("n"), "left_semi"), "crowded")
     discard(every)
+    # the end reads no keys of bands
+    wide, sketched = sketched, staged(sketched.select("id", "key", "weight"), "rows")
+    discard(wide)
     keyed = members.select("node", "weight", F.explode(F.array_distinct("keys")).alias("k"))
     crowd = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("key_"))
     left = staged(keyed.join(crowd, F.col("k") == F.col("key_")).select("k", "node", F.col("node").alias("root"), "weight"), "left")
     edges, done = None, None
     sets = staged(weighted_sets(docs, members, id_col, text_col, idf), "sets")
     n, rows_left = 0, left.count()
+    tidy(docs.sparkSession)
     while True:
         last = n == len(pivots)
         if last:
@@ -419,13 +440,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
+        read = [pairs]
         if last:
+            tidy(docs.sparkSession)
             # members of a large group have many pairs, of which few are enough to make it one class
             near = staged(nearest(pairs), "near")
             new = staged(verified(near, sets, threshold), "nearest").where("ok").select("a", "b")
             edges = new if edges is None else edges.unionByName(new)
             pairs = staged(between(pairs.join(near, ["a", "b"], "left_anti"), edges), "between")
+            read += [near, pairs]
         judged = staged(verified(pairs, sets, threshold), "judged")
+        discard(*read)
         new = judged.where("ok").select("a", "b")
         edges = new if edges is None else edges.unionByName(new)
         if last:
@@ -435,14 +460,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         # the first pivots are settled; a group goes on until all its other members are in one class
         roots = components(edges).select(F.col("node").alias("n"), F.col("root").alias("new_root"))
         rest = left if n else left.join(heads, (F.col("k") == F.col("key_")) & (F.col("node") == F.col("pivot")), "left_anti")
-        left = rest.join(roots, F.col("node") == F.col("n"), "left").select("k", "node", F.coalesce("new_root", "node").alias("root"), "weight")
-        left = staged(left, "labelled")
-        mixed = left.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("k").alias("key_"))
-        left = staged(left.join(mixed, F.col("k") == F.col("key_")).select("k", "node", "root", "weight"), "left")
+        labelled = staged(rest.join(roots, F.col("node") == F.col("n"), "left").select("k", "node", F.coalesce("new_root", "node").alias("root"), "weight"), "labelled")
+        discard(left, heads)
+        mixed = labelled.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("k").alias("key_"))
+        left = staged(labelled.join(mixed, F.col("k") == F.col("key_")).select("k", "node", "root", "weight"), "left")
+        discard(labelled)
+        tidy(left.sparkSession)
         before, rows_left = rows_left, left.count()
         if not rows_left:
             break
         n = n + 1 if not n or rows_left < 0.9 * before else len(pivots)
+    discard(sets, members, left)
+    tidy(docs.sparkSession)
     edges = staged(edges.distinct(), "links")
     roots = components(edges).select(F.col("node").alias("n"), "root")
     links = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("l")).agg(F.count("*").alias("links"))

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 from hashlib import md5
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -54,6 +55,42 @@ def test_components_on_the_driver_and_by_rounds(spark):
     assert n_few <= 6 < n_many
 
 
+def test_nothing_is_left_on_disk(spark, monkeypatch):
+    """Shuffle files go with their query, tables with their last reader, and the caller's settings stay."""
+    from keyloom.llm import common
+
+    at = f"{spark.conf.get('spark.checkpoint.dir')}/nothing-is-left"
+    real, left = neardup.staged, []
+    monkeypatch.setattr(common, "shared_dir", lambda spark: at)
+
+    def told(df, name):
+        out = real(df, name)
+        left.append(sorted(x.name.rsplit("-", 1)[0] for x in Path(at.removeprefix("file://"), "keyloom").iterdir()))
+        return out
+
+    monkeypatch.setattr(neardup, "staged", told)
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses
+    before = blocks().size()
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*words[i % 7 :], f"x{i}"])) for i in range(60)]
+    found = neardup.classes(docs(spark, rows))
+    assert blocks().size() <= before + 8 and spark.conf.get(common.CLEANUP) == "false"
+    kept = set(left[-1])
+    assert {"rows", "nodes", "links", "named"} <= kept and not kept & {"sketch", "members", "crowded", "left", "labelled", "pivots", "pairs", "sets", "wanted", "firsts", "shared"}
+    assert len({x.class_id for x in found.collect()}) == 1 and len(found.collect()) == 60
+
+
+def test_spreads_are_bounds(spark):
+    """Buckets of heavy sets are rounded up to two bytes, those of others are exact."""
+    r = np.random.default_rng(5)
+    sets = [(r.integers(0, 2**63, n).astype(np.uint64), r.integers(1, top, n)) for n, top in ((0, 9), (3000, 900), (200_000, 60_000))]
+    rows, units = neardup.spreads([neardup.packed(*x) for x in sets])
+    assert rows.dtype == np.int16 and rows.min() >= 0 and units[0] == units[1] == 1 and units[2] > 1
+    for (h, w), row, unit in zip(sets, rows, units):
+        exact = np.bincount(((h >> np.uint64(16)).astype(np.int64) % neardup.SPREAD), w, neardup.SPREAD)
+        assert (row * unit >= exact - 1e-6).all() and (row * unit < exact + unit + 1e-6).all()
+
+
 def brute_classes(rows, idf):
     sets = {}
     for i, text in rows:
