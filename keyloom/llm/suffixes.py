@@ -6,27 +6,31 @@ import numpy as np
 
 #: Symbols that are compared at once; nine bits each.
 FIRST = 7
+#: Blocks of so many symbols that are compared at once, once two agree.
+AT_ONCE = 8
 #: Bits of a place where a key holds three ranks and its own place, and of a rank where a key holds three.
 PLACE_BITS, RANK_BITS = 16, 21
 U = np.uint64
 
 
 def in_order(key: np.ndarray, at: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, ascending, and their places; in a small array the places ride in the keys, which sorts faster than an argsort."""
+    """Keys, ascending, and their places, ascending for equal keys; in a small array the places ride in the keys, which sorts faster than an argsort."""
     if small:
         key = np.sort(key << U(PLACE_BITS) | at.view(U))
         return key >> U(PLACE_BITS), (key & U((1 << PLACE_BITS) - 1)).view(np.int64)
-    order = np.argsort(key)
+    order = np.argsort(key, kind="stable")
     return key[order], at[order]
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
+def suffix_array(symbols: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
     """Suffix order of symbols from 0 to 510.
 
     The first sort is by a few symbols. Each round trebles the depth by sorting the
     members of groups that are still tied by the ranks of the suffixes ``depth`` and twice
     ``depth`` further on, which with their own rank fit into one key (in a very large
     array, two ranks do, and the depth doubles); groups of one are never touched again.
+    ``ends`` are the places of symbols 0 that end a text, ascending. No two of them are
+    equal, the earlier comes first; so copies are told apart where they end.
     """
     n = len(symbols)
     if n < 2:
@@ -43,74 +47,107 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     for i in range(1, depth):
         key <<= U(wide)
         key |= padded[i : n + i]
+    ended = np.zeros(n, bool)
+    if ends is not None:
+        # what follows an end doesn't count
+        before = np.arange(depth)
+        at = ends[:, None] - before
+        on = at >= 0
+        np.bitwise_and.at(key, at[on], np.broadcast_to(~U(0) << (wide * (depth - 1 - before)).astype(U), at.shape)[on])
+        ended[at[on]] = True
     key, sa = in_order(key, np.arange(n), small)
     new = np.ones(n + 1, bool)
     np.not_equal(key[1:], key[:-1], out=new[1:-1])
+    new[:-1] |= ended[sa]
     heads = np.flatnonzero(new)
     # from 1 on; 0 is the end
-    rank = np.zeros(n + 1, U)
+    rank = np.empty(n, U)
     rank[sa] = np.repeat((heads[:-1] + 1).view(U), np.diff(heads))
-    tied = np.flatnonzero(~(new[:-1] & new[1:]))  # places in sa
+    alone = new[:-1] & new[1:]
+    tied = np.flatnonzero(~alone)  # places in sa
+    open_ = np.ones(n, bool)  # and in the text
+    open_[sa[alone]] = False
     while len(tied):
-        at = sa[tied]
-        key = rank[at]
-        there = at
-        for _ in range(ahead):
-            there = np.minimum(there + depth, n)
-            key <<= U(bits)
-            key |= rank[there]
-        key, at = in_order(key, at, small)
+        # made for the whole text, in its order, which reads memory straight on
+        key = rank << U(bits * ahead)
+        for i in range(1, ahead + 1):
+            if i * depth < n:
+                key[: n - i * depth] |= rank[i * depth :] << U(bits * (ahead - i))
+        at = np.flatnonzero(open_)
+        key, at = in_order(key[at], at, small)
         sa[tied] = at
         new = np.ones(len(at) + 1, bool)
         np.not_equal(key[1:], key[:-1], out=new[1:-1])
         heads = np.flatnonzero(new)
         rank[at] = np.repeat((tied[heads[:-1]] + 1).view(U), np.diff(heads))
-        tied = tied[~(new[:-1] & new[1:])]
+        alone = new[:-1] & new[1:]
+        open_[at[alone]] = False
+        tied = tied[~alone]
         depth *= 1 + ahead
     return sa.astype(np.int32)
 
 
-def common_prefixes(symbols: np.ndarray, sa: np.ndarray) -> np.ndarray:
+def common_prefixes(symbols: np.ndarray, sa: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
     """Common prefix of each suffix (by its place in the text) with the one before it in order.
 
     Kasai: the prefix of the suffix one further on is shorter by one at most, and by just
     one where the symbols before the two suffixes agree. So symbols are compared only at
     the places where they don't, FIRST at a time; the others count down from there.
+    ``ends`` are as in ``suffix_array``: none is equal to another, so no prefix goes past one.
     """
     n = len(symbols)
     out = np.zeros(n, np.int32)
     if n < 2:
         return out
+    unlike = np.zeros(n + FIRST * AT_ONCE, np.int32)
+    unlike[:n] = symbols
+    stops = np.array([n])
+    if ends is not None:
+        unlike[ends] = -1 - ends
+        stops = np.append(ends, n)
     before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     fresh = np.ones(n, bool)
-    fresh[1:] = (before[1:] < 1) | (symbols[:-1] != symbols[before[1:] - 1])
-    # blocks of FIRST symbols; past the end each place has a block of its own
+    fresh[1:] = (before[1:] < 1) | (unlike[: n - 1] != unlike[before[1:] - 1])
+    # blocks of FIRST symbols; those that reach an end, or past the last, are like no other
     padded = np.zeros(n + FIRST, np.int64)
     padded[:n] = symbols.astype(np.int64) + 1
-    block = np.zeros(n + FIRST, np.int64)
+    block = -1 - np.arange(n + FIRST * AT_ONCE)
+    inside = np.zeros(n, np.int64)
     for i in range(FIRST):
-        block[:n] <<= 9
-        block[:n] |= padded[i : n + i]
-    tail = max(0, n - FIRST + 1)
-    block[tail:] = -1 - np.arange(len(block) - tail)
+        inside <<= 9
+        inside |= padded[i : n + i]
+    block[:n] = inside
+    near = (stops[:, None] - np.arange(FIRST)).ravel()
+    near = near[near >= 0]
+    block[near] = -1 - near
     at = np.flatnonzero(fresh & (before >= 0))
     x, y = at.copy(), before[at].astype(np.int64)
     lanes = np.arange(len(at))
-    while len(lanes):
+    for _ in range(2):
         lanes = lanes[block[x[lanes]] == block[y[lanes]]]
         x[lanes] += FIRST
         y[lanes] += FIRST
-    # where two blocks part, their highest unlike bits tell how many symbols still agree; blocks past the end are looked at one by one
-    inner = np.maximum(x, y) < tail
-    apart = block[x] ^ block[y]
+    # the few that go on, AT_ONCE blocks at a time
+    steps = np.arange(AT_ONCE) * FIRST
+    while len(lanes):
+        same = block[x[lanes, None] + steps] == block[y[lanes, None] + steps]
+        whole = same.all(axis=1)
+        more = np.where(whole, AT_ONCE, same.argmin(axis=1)) * FIRST
+        x[lanes] += more
+        y[lanes] += more
+        lanes = lanes[whole]
+    # where two blocks part, their highest unlike bits tell how many symbols still agree; blocks that reach an end are looked at one by one
+    a, b = block[x], block[y]
+    inner = (a >= 0) & (b >= 0)
+    apart = a ^ b
     agree = sum((apart < 1 << 9 * i).astype(np.int64) for i in range(1, FIRST)) * inner
     x += agree
     y += agree
     lanes = np.flatnonzero(~inner)
     while len(lanes):
         here = lanes[np.maximum(x[lanes], y[lanes]) < n]
-        lanes = here[symbols[x[here]] == symbols[y[here]]]
+        lanes = here[unlike[x[here]] == unlike[y[here]]]
         x[lanes] += 1
         y[lanes] += 1
     out[at] = x - at
@@ -137,8 +174,8 @@ def repeated_flags(texts: list[bytes], windows: list[int], *lengths: int) -> tup
     at = np.repeat(starts - np.cumsum(own) + own, own) + np.arange(own.sum())
     left = np.zeros(len(symbols), np.int64)
     left[at] = np.repeat(ends, own) - at
-    sa = suffix_array(symbols)
-    prefix = common_prefixes(symbols, sa)[sa]
+    sa = suffix_array(symbols, ends)
+    prefix = common_prefixes(symbols, sa, ends)[sa]
     counted = np.flatnonzero(left[sa] > 0)
     at = sa[counted]
     out = []

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from keyloom.llm import substrings, suffixes
 from keyloom.llm.anchors import Buffer
@@ -45,6 +46,31 @@ def test_suffix_arrays_of_all_sizes(monkeypatch):
             assert suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
+def test_copies_part_where_they_end(monkeypatch):
+    """Ends are unlike each other, the earlier first, so no order and no prefix goes past one, and copies in a row need no more sorts than one."""
+    r = random.Random(7)
+    sorts, real = [], suffixes.in_order
+    monkeypatch.setattr(suffixes, "in_order", lambda *args: sorts.append(args[2]) or real(*args))
+    text = [r.randrange(1, 4) for _ in range(300)]
+    cases = [[text] * 12] + [[[r.randrange(1, 3) for _ in range(r.randrange(9))] for _ in range(r.randrange(1, 9))] for _ in range(150)]
+    for place_bits in (16, 0):
+        monkeypatch.setattr(suffixes, "PLACE_BITS", place_bits)
+        for texts in cases:
+            s = np.array([c for t in texts for c in (*t, 0)], np.int16)
+            ends = np.flatnonzero(s == 0)
+            apart = [c or i - len(s) for i, c in enumerate(s.tolist())]
+            sorts.clear()
+            sa = suffix_array(s, ends)
+            assert texts is not cases[0] or len(sorts) <= 5
+            assert sa.tolist() == sorted(range(len(s)), key=lambda i: apart[i:])
+            p = common_prefixes(s, sa, ends)
+            for before, at in zip(sa, sa[1:]):
+                k = 0
+                while max(before, at) + k < len(s) and apart[before + k] == apart[at + k]:
+                    k += 1
+                assert p[at] == k
+
+
 def test_repeated_windows():
     r = random.Random(3)
     for _ in range(150):
@@ -75,6 +101,48 @@ def test_runs_cover_all_windows_alike():
     assert h[0] == h[1]
 
 
+def test_arrays_get_what_may_repeat(monkeypatch):
+    """Contexts that share no more than their anchor stay out of the arrays, and nothing that is repeated does."""
+    r = random.Random(8)
+    prose = lambda n: bytes(r.randrange(97, 123) for _ in range(n))
+    lines, passage = [prose(220) for _ in range(12)], prose(1200)
+    texts = [prose(500) + line + prose(500) for line in lines * 8] + [prose(300) + passage[i * 100 : 700 + i * 100] + prose(300) for i in range(4)] + [prose(300) + passage] * 2
+    rows = []
+    buffer = Buffer(texts)
+    for text, first, last, anchor in zip(*(x.tolist() for x in buffer.runs(280, 200, 10**6))):
+        at = first - int(buffer.starts[text])
+        h = hash(bytes(buffer.data[anchor : anchor + 80]))
+        rows.append({"h": h, "c": len(rows), "place": 0, "salt": -1, "windows": last - first + 1, "data": texts[text][at : at + last - first + 400]})
+    rows.sort(key=lambda x: x["h"])
+    given, real = [], substrings.repeated_flags
+    monkeypatch.setattr(substrings, "repeated_flags", lambda t, *a: given.append(sum(map(len, t))) or real(t, *a))
+    shared = {h for h, n in Counter(x["h"] for x in rows).items() if n > 1}
+    every = sum(len(x["data"]) for x in rows if x["h"] in shared)
+    for most in (substrings.HELD_BYTES, 2000):
+        monkeypatch.setattr(substrings, "HELD_BYTES", most)
+        given.clear()
+        got = [x for b in substrings.shard_windows(iter([pa.RecordBatch.from_pylist(rows, substrings.CUT)]), (400, 280)) for x in b.to_pylist()]
+        assert 0 < sum(given) < 0.6 * every
+        for length, flags in zip((400, 280), repeated_windows([x["data"] for x in rows], [x["windows"] for x in rows], 400, 280)):
+            expected = {(x["h"], x["c"], int(i)) for x, f in zip(rows, flags) for i in np.flatnonzero(f)}
+            assert {(x["h"], x["c"], i) for x in got if x["size"] == length for i in range(x["lo"], x["hi"])} == expected != set()
+
+
+def test_spans_of_many_rows():
+    r = random.Random(9)
+    sizes = np.array([r.randrange(30) for _ in range(300)])
+    runs = [None if r.random() < 0.2 else [{"lo": (lo := r.randrange(40)), "hi": lo + r.randrange(1, 5)} for _ in range(r.randrange(5))] for _ in sizes]
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+    for lo, hi in ((0, 300), (37, 40), (0, 0)):
+        row, a, b = substrings.spans(pa.array(runs, kind)[lo:hi], 6, sizes[lo:hi])
+        got = [[] for _ in range(lo, hi)]
+        for i, x, y in zip(row.tolist(), a.tolist(), b.tolist()):
+            got[i].append((x, y))
+        for n, own, spans in zip(sizes[lo:hi].tolist(), runs[lo:hi], got):
+            gone = {w + k for x in own or () for w in range(x["lo"], x["hi"]) if w + 6 <= n for k in range(6)}
+            assert spans == [(s, next(e for e in range(s, n + 1) if e not in gone)) for s in sorted(gone) if s - 1 not in gone]
+
+
 def brute(texts, n, passage=280):
     if passage:
         return [(*x, y[1]) for x, y in zip(brute(texts, n, 0), brute(texts, passage, 0))]
